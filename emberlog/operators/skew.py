@@ -23,7 +23,8 @@ def attach_by_key(
     whatever the data, and by pigeonhole every other key owns less than
     1/``HOT_KEYS`` of the rows.  Hot rows take their facts from the broadcast
     side and are spread over ``SALTS`` join keys, so none of them meets the
-    others in one task.  Every left row must have a match in ``facts``.
+    others in one task; rows with a null key are spread the same way.  Left
+    rows without a match keep nulls.
     """
     payload = [c for c in facts.columns if c not in keys]
     hot = (
@@ -32,11 +33,12 @@ def attach_by_key(
         .limit(HOT_KEYS)
         .select(*keys, F.struct(*payload).alias("_hot"))
     )
+    settled = F.col("_hot").isNotNull()
+    for key in keys:
+        settled = settled | F.col(key).isNull()
+    spread = F.pmod(F.xxhash64(spread_by), F.lit(SALTS)) + 1
     salted = left.join(F.broadcast(hot), keys, "left").withColumn(
-        "_salt",
-        F.when(F.col("_hot").isNull(), F.lit(0)).otherwise(
-            F.pmod(F.xxhash64(spread_by), F.lit(SALTS)) + 1
-        ).cast("int"),
+        "_salt", F.when(settled, spread).otherwise(F.lit(0)).cast("int")
     )
     cold = facts.select(*keys, F.struct(*payload).alias("_cold"), F.lit(0).alias("_salt"))
     chosen = F.coalesce("_hot", "_cold")
