@@ -110,14 +110,13 @@ USER_ASSIGNMENT = ("user=", r"\buser=([^\s]+)")
 USER_PHRASE = ("for", r"\b(?:for user|for invalid user|for)\s+([a-zA-Z0-9_.-]+)")
 
 # --- fixed values: template rules, applied in this order ---------------------
-# (text that must occur, pattern, replacement)
 TEMPLATE_RULES = (
-    ("rhost=", r"rhost=\S+", "rhost=H"),
-    ("user=", r"user=\S+", "user=U"),
-    ("for user ", r"for user \S+", "for user U"),
-    (".", r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "IP"),
-    ("0x", r"0x[0-9a-fA-F]+", "HEX"),
-    ("", r"\d+", "N"),
+    (r"rhost=\S+", "rhost=H"),
+    (r"user=\S+", "user=U"),
+    (r"for user \S+", "for user U"),
+    (r"\b\d{1,3}(?:\.\d{1,3}){3}\b", "IP"),
+    (r"0x[0-9a-fA-F]+", "HEX"),
+    (r"\d+", "N"),
 )
 TEMPLATE_LENGTH = 80
 

@@ -74,7 +74,8 @@ def risk_score(max_template: Column) -> Column:
     total = F.lit(0.0)
     for name, weight in K.RISK_WEIGHTS.items():
         total = total + F.lit(weight) * terms[name]
-    return F.round(_clip(total), 3)
+    # nine places first: sums that differ in the last bit then round alike
+    return F.round(F.round(_clip(total), 9), 3)
 
 
 def severity(risk: str = "risk_score", status_column: str = "status") -> Column:

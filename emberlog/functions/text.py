@@ -7,7 +7,7 @@ whole-stage codegen.  ``(?U)`` makes ``\\d \\w \\s \\b`` cover all of Unicode an
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, functions as F
+from pyspark.sql import Column, functions as F
 
 from emberlog import constants as K
 
@@ -115,19 +115,12 @@ def target_user(message) -> Column:
     return _first_group(_as_column(message), K.USER_ASSIGNMENT, K.USER_PHRASE)
 
 
-def with_template(df: DataFrame, message: str = "message", name: str = "template") -> DataFrame:
-    """Add the wording with its variable parts replaced, cut to the template length.
-
-    One projection per rule keeps each intermediate text computed once, and a
-    rule's regex runs only on rows that hold its literal text.
-    """
-    out = df.withColumn(name, F.col(message))
-    for hint, pattern, by in K.TEMPLATE_RULES:
-        replaced = _replace(F.col(name), pattern, by)
-        if hint:
-            replaced = F.when(F.col(name).contains(hint), replaced).otherwise(F.col(name))
-        out = out.withColumn(name, replaced)
-    return out.withColumn(name, F.substring(name, 1, K.TEMPLATE_LENGTH))
+def message_template(message) -> Column:
+    """Wording with its variable parts replaced, cut to the template length."""
+    text = _as_column(message)
+    for pattern, by in K.TEMPLATE_RULES:
+        text = _replace(text, pattern, by)
+    return F.substring(text, 1, K.TEMPLATE_LENGTH)
 
 
 def token_count(message) -> Column:

@@ -37,17 +37,17 @@ def clean(logs: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         .withColumn("service", text.normalise_service("service_raw"))
         .withColumn("_lowered", F.lower("message"))
     )
-    parts = staged.withColumns(
+    return staged.withColumns(
         {
             "event_class": text.classify_event("_lowered", "service", raw_type),
             "src_host": text.source_host("message"),
             "target_user": text.target_user("message"),
             "hour": F.hour("timestamp").cast("long"),
             "message_length": F.length("message").cast("long"),
+            "template": text.message_template("message"),
             "window_start": timing.window_start("timestamp", params.window_minutes),
         }
-    )
-    return text.with_template(parts).drop("_lowered")
+    ).drop("_lowered")
 
 
 def with_event_ids(cleaned: DataFrame) -> DataFrame:

@@ -26,8 +26,9 @@ OTHER_TIME_FORMATS = (
     "MMM d yyyy H:mm:ss",
     "d MMM yyyy H:mm:ss",
     "d/MMM/yyyy:H:mm:ss",
-    "EEE MMM d H:mm:ss yyyy",
+    "MMM d H:mm:ss yyyy",
 )
+WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? "
 
 
 def read_text_lines(spark: SparkSession, path) -> DataFrame:
@@ -42,22 +43,21 @@ def parse_lines(lines: DataFrame) -> DataFrame:
     """Split each non-blank line into fields; ``matched`` tells whether it had a known shape.
 
     One regex pass per format: the match is rewritten as newline-separated
-    fields, and a single line can hold no newline of its own.
+    fields, and a single line can hold no newline of its own.  The fields go
+    through ``explode`` (of one element) so that later filters on them are not
+    pushed down into repeated copies of the regexes.
     """
     fields = "\n$1\n$2\n$3\n$4\n$5"
     text = F.rtrim(F.col("value"), F.lit(WHITESPACE))
+    classic = F.regexp_replace("_line", FLAGS + K.SYSLOG_LINE, fields)
+    iso = F.regexp_replace("_line", FLAGS + K.ISO_LINE, fields)
+    either = F.when(F.col("_classic").startswith("\n"), F.col("_classic")).otherwise(iso)
     rows = (
         lines.withColumn("_line", text)
         .where(F.col("_line") != "")
-        .withColumn("_classic", F.regexp_replace("_line", FLAGS + K.SYSLOG_LINE, fields))
-        .withColumn(
-            "_fields",
-            F.when(F.col("_classic").startswith("\n"), F.col("_classic")).otherwise(
-                F.regexp_replace("_line", FLAGS + K.ISO_LINE, fields)
-            ),
-        )
-        .withColumn("matched", F.col("_fields").startswith("\n"))
-        .withColumn("_part", F.when(F.col("matched"), F.split("_fields", "\n", 6)))
+        .withColumn("_classic", classic)
+        .select("line_no", "_line", F.explode(F.array(F.split(either, "\n", 6))).alias("_part"))
+        .withColumn("matched", F.size("_part") > 1)
     )
     part = lambda i: F.get(F.col("_part"), F.lit(i))
     return rows.select(
@@ -80,7 +80,8 @@ def classic_time(text: Column, year: int = 1900) -> Column:
 def flexible_time(text: Column) -> Column:
     """ISO and other common spellings, null when none parses."""
     iso = F.when(text.rlike(r"^\d{4}-\d{1,2}"), text.try_cast("timestamp"))
-    return F.coalesce(iso, *[F.try_to_timestamp(text, F.lit(f)) for f in OTHER_TIME_FORMATS])
+    dated = F.regexp_replace(text, WEEKDAY, "")
+    return F.coalesce(iso, *[F.try_to_timestamp(dated, F.lit(f)) for f in OTHER_TIME_FORMATS])
 
 
 def resolve_timestamps(rows: DataFrame, mode: str = "reference", assume_year: int = 1900) -> DataFrame:
