@@ -161,8 +161,11 @@ def explain(
     eps_used: float | None = None,
     min_samples_used: int | None = None,
 ) -> DataFrame:
-    """``focus`` events (default: all) with ``headline``, ``evidence`` and ``actions``."""
-    total = events.agg(F.count("*").alias("n")).scalar()
+    """``focus`` events (default: all) with ``headline``, ``evidence`` and ``actions``.
+
+    Counts the events once, so that the sentences carry the total as a literal.
+    """
+    total = F.lit(events.count())
     eps = params.eps if eps_used is None else eps_used
     samples = params.min_samples if min_samples_used is None else min_samples_used
     told = with_facts(events if focus is None else focus, events).withColumns(

@@ -37,17 +37,23 @@ def clean(logs: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         .withColumn("service", text.normalise_service("service_raw"))
         .withColumn("_lowered", F.lower("message"))
     )
-    return staged.withColumns(
-        {
-            "event_class": text.classify_event("_lowered", "service", raw_type),
-            "src_host": text.source_host("message"),
-            "target_user": text.target_user("message"),
-            "hour": F.hour("timestamp").cast("long"),
-            "message_length": F.length("message").cast("long"),
-            "template": text.message_template("message"),
-            "window_start": timing.window_start("timestamp", params.window_minutes),
-        }
-    ).drop("_lowered")
+    # through explode (of one element), so that a filter on the class runs on
+    # the finished value instead of a pushed-down copy of all the rules
+    classes = F.array(text.classify_event("_lowered", "service", raw_type))
+    return (
+        staged.select("*", F.explode(classes).alias("event_class"))
+        .drop("_lowered")
+        .withColumns(
+            {
+                "src_host": text.source_host("message"),
+                "target_user": text.target_user("message"),
+                "hour": F.hour("timestamp").cast("long"),
+                "message_length": F.length("message").cast("long"),
+                "template": text.message_template("message"),
+                "window_start": timing.window_start("timestamp", params.window_minutes),
+            }
+        )
+    )
 
 
 def with_event_ids(cleaned: DataFrame) -> DataFrame:

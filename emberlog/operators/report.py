@@ -24,25 +24,25 @@ def _fixed(one: DataFrame, section: int, *texts) -> DataFrame:
     return one.select(F.lit(section).alias("section"), F.posexplode(items).alias("line", "text"))
 
 
-def _span(events: DataFrame) -> DataFrame:
-    return events.agg(
-        F.min("timestamp").alias("start"),
-        F.max("timestamp").alias("end"),
-        F.coalesce(F.year(F.min("timestamp")) > 1970, F.lit(False)).alias("has_year"),
+def _span(events: DataFrame) -> tuple[str, str, bool]:
+    """First and last time as shown, and whether the year is known (one row)."""
+    ends = events.agg(F.min("timestamp").alias("start"), F.max("timestamp").alias("end")).withColumn(
+        "has_year", F.coalesce(F.year("start") > 1970, F.lit(False))
     )
+    shown = [format_time(F.col(c), F.col("has_year")).alias(c) for c in ("start", "end")]
+    return tuple(ends.select(*shown, "has_year").first())
 
 
 def summary_lines(events: DataFrame, dataset: str, ground_truth: DataFrame | None = None) -> DataFrame:
     """The summary report as (section, line, text) rows."""
     facts = kpis(events)
-    span = _span(events)
-    year = span.select("has_year").scalar()
+    start, end, has_year = _span(events)
     c = F.col
     times = fill(
         "**Dataset:** " + dataset.replace("{", "{{").replace("}", "}}") + " · {n} Linux log events · {start} → {end}",
         n=with_commas(c("total")),
-        start=span.select(format_time(c("start"), c("has_year"))).scalar(),
-        end=span.select(format_time(c("end"), c("has_year"))).scalar(),
+        start=start,
+        end=end,
     )
     head = _fixed(
         facts, 1, K.REPORT_TITLE, "", times, "", "## Key figures",
@@ -70,7 +70,7 @@ def summary_lines(events: DataFrame, dataset: str, ground_truth: DataFrame | Non
         _fixed(some, 8, "", "## Highest-risk events"),
         _section(
             riskiest, 9,
-            fill("- {id} · {t} · {s} · {e} · risk {r}", id=c("event_id"), t=format_time(c("timestamp"), year),
+            fill("- {id} · {t} · {s} · {e} · risk {r}", id=c("event_id"), t=format_time(c("timestamp"), has_year),
                  s=c("service"), e=c("event_class"), r=two_places(c("risk_score"))),
             -c("risk_score"), c("row_idx"),
         ),

@@ -163,11 +163,10 @@ def score_unseen(
     )
 
 
-def stage_counts(analysis: Analysis) -> DataFrame:
-    """One row of counts per stage."""
-    e = analysis.scored
+def stage_counts(events: DataFrame) -> DataFrame:
+    """One row of counts per stage of a run."""
     noise, forest = F.col("dbscan_noise"), F.col("iforest_noise")
-    return e.agg(
+    return events.agg(
         F.count("*").alias("input_rows"),
         F.countDistinct("service").alias("services"),
         F.countDistinct("event_class").alias("event_classes"),
@@ -175,12 +174,6 @@ def stage_counts(analysis: Analysis) -> DataFrame:
         F.count_if(noise).alias("dbscan_noise"),
         F.count_if(forest).alias("isolation_forest_anomalies"),
         F.count_if(noise | forest).alias("ensemble_anomalies"),
-    ).withColumns(
-        {
-            "model_features": F.lit(len(X.FEATURES)),
-            "detection_mode": F.lit("unsupervised"),
-            "auto_params": F.lit(analysis.auto_params),
-        }
     )
 
 
