@@ -161,6 +161,12 @@ def _summary(scored: DataFrame, split: str) -> DataFrame:
     )
 
 
+def temporal_part(position: str, total: int, test_size: float):
+    """``train`` for the earliest rows, ``test`` for the latest share."""
+    cut = int(total * (1 - test_size))
+    return F.when(F.col(position) < cut, F.lit("train")).otherwise(F.lit("test"))
+
+
 def evaluate_tree(rows: DataFrame, truth: str, key: str, params: Params = DEFAULTS) -> DataFrame:
     """Decision-tree check: hash hold-out, temporal hold-out and hash folds, one row each.
 
@@ -181,8 +187,8 @@ def evaluate_tree(rows: DataFrame, truth: str, key: str, params: Params = DEFAUL
     ]
     indexed = with_row_index(data, "timestamp", key, name="_at")
     total = sum(classes.values())
-    cut = int(total * (1 - params.test_size))
-    early, late = indexed.where(F.col("_at") < cut), indexed.where(F.col("_at") >= cut)
+    part = temporal_part("_at", total, params.test_size)
+    early, late = indexed.where(part == "train"), indexed.where(part == "test")
     both = lambda d: d.select(truth).distinct().count() == 2
     if both(early) and both(late):
         results.append(_summary(_fit_and_score(early, late, truth, columns, params), "temporal"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 from importlib import import_module
 
-MODULES = ("source_queries", "feature_queries", "explore_queries", "explain_queries")
+MODULES = ("source_queries", "feature_queries", "explore_queries", "explain_queries", "detection_queries")
 
 
 def load_catalogue() -> dict:
