@@ -11,6 +11,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession, Window as W, functions as F
 
 from emberlog.operators.features import FEATURES, VECTOR_KEY
@@ -46,7 +47,7 @@ def draw_samples(points: DataFrame, params: Params) -> tuple[DataFrame, int]:
         F.array(*FEATURES).alias("x"),
         "weight",
     )
-    totals = bucketed.groupBy("bucket").agg(F.sum("weight").alias("w")).orderBy("bucket").toPandas()
+    totals = bucketed.groupBy("bucket").agg(F.sum("weight").alias("w")).orderBy("bucket").toArrow().to_pandas()
     ends = np.cumsum(totals["w"].to_numpy(np.int64))
     rows = int(ends[-1])
     size = min(params.subsample, rows)
@@ -55,7 +56,7 @@ def draw_samples(points: DataFrame, params: Params) -> tuple[DataFrame, int]:
         [generator.choice(rows, size, replace=False) for _ in range(params.trees)]
     ).astype(np.int64)
     slot = np.searchsorted(ends, drawn, side="right")
-    draws = pd.DataFrame(
+    draws = pa.table(
         {
             "tree": np.repeat(np.arange(params.trees, dtype=np.int32), size),
             "draw": np.tile(np.arange(size, dtype=np.int32), params.trees),
@@ -63,7 +64,7 @@ def draw_samples(points: DataFrame, params: Params) -> tuple[DataFrame, int]:
             "position": drawn - np.where(slot > 0, ends[slot - 1], 0),
         }
     )
-    requests = spark.createDataFrame(draws, "tree int, draw int, bucket int, position long")
+    requests = spark.createDataFrame(draws)
     before = W.partitionBy("bucket").orderBy("key").rowsBetween(W.unboundedPreceding, -1)
     starts = bucketed.select(
         "bucket",
@@ -121,7 +122,10 @@ def grow_trees(samples: DataFrame, size: int, params: Params) -> DataFrame:
         frame.insert(0, "tree", tree)
         return frame
 
-    return samples.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
+    # the samples are small, so adaptive coalescing would put all trees into one task
+    slots = samples.sparkSession.sparkContext.defaultParallelism
+    spread = samples.repartition(min(params.trees, slots), "tree")
+    return spread.groupBy("tree").applyInPandas(grow, NODE_SCHEMA)
 
 
 @dataclass
@@ -165,7 +169,7 @@ class Forest:
         return points.select(*kept).mapInPandas(scored, fields)
 
     def save(self, spark: SparkSession, path: str) -> None:
-        spark.createDataFrame(self.nodes, NODE_SCHEMA).coalesce(1).write.mode("overwrite").parquet(
+        spark.createDataFrame(pa.Table.from_pandas(self.nodes, preserve_index=False)).coalesce(1).write.mode("overwrite").parquet(
             f"{path}/nodes"
         )
         facts = [(int(self.size), float(self.threshold))]
@@ -176,14 +180,14 @@ class Forest:
     @staticmethod
     def load(spark: SparkSession, path: str) -> "Forest":
         facts = spark.read.parquet(f"{path}/facts").first()
-        nodes = spark.read.parquet(f"{path}/nodes").toPandas()
+        nodes = spark.read.parquet(f"{path}/nodes").toArrow().to_pandas()
         return Forest(nodes, int(facts["size"]), float(facts["threshold"]))
 
 
 def fit_forest(points: DataFrame, params: Params = DEFAULTS) -> Forest:
     """Fit on weighted vectors; a fractional contamination sets the threshold by quantile."""
     samples, size = draw_samples(points, params)
-    forest = Forest(grow_trees(samples, size, params).toPandas(), size)
+    forest = Forest(grow_trees(samples, size, params).toArrow().to_pandas(), size)
     if params.contamination != "auto":
         scores = forest.score(points).select("anomaly_score", "weight")
         share = 1.0 - float(params.contamination)

@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 from emberlog import constants as K
 from emberlog.functions.timing import window_start
 from emberlog.params import DEFAULTS, Params
+from emberlog.session import cut_lineage
 
 MIN_WINDOWS = 5
 JOINER = " + "
@@ -66,13 +67,16 @@ def _counted(found: DataFrame, windows: Column, minimum: float) -> DataFrame:
 
 
 def frequent_itemsets(items: DataFrame, params: Params = DEFAULTS) -> DataFrame:
-    """Item sets of one to three items: ``items size found support windows_total``.
+    """Item sets of one to three items: ``items found support size windows_total``.
 
     One shuffle gathers the frequent items of each window; pairs and triples
     are then formed inside the row and counted with map-side partial sums.
-    Triples extend frequent pairs only.
+    Triples extend frequent pairs only.  The distinct items are checkpointed
+    because every level reads them, and so is the result, which rules join
+    three times.
     """
-    windows = items.agg(F.countDistinct("win").alias("n")).scalar()
+    items = cut_lineage(items)
+    windows = F.lit(items.select("win").distinct().count())
     minimum = params.min_support
     singles = _counted(items.select(F.array("item").alias("items")), windows, minimum)
     keep = singles.select(F.col("items")[0].alias("item"))
@@ -89,12 +93,8 @@ def frequent_itemsets(items: DataFrame, params: Params = DEFAULTS) -> DataFrame:
         "a", "b", F.explode(longer(F.col("b"))).alias("c")
     )
     triples = _counted(triples_in.select(F.array("a", "b", "c").alias("items")), windows, minimum)
-    return (
-        singles.unionByName(pairs)
-        .unionByName(triples)
-        .withColumn("size", F.size("items"))
-        .withColumn("windows_total", windows)
-    )
+    found = singles.unionByName(pairs).unionByName(triples)
+    return cut_lineage(found.withColumns({"size": F.size("items"), "windows_total": windows}))
 
 
 def itemset_report(itemsets: DataFrame) -> DataFrame:
