@@ -11,18 +11,17 @@ from emberlog.operators.skew import attach_by_key
 from emberlog.params import DEFAULTS, Params
 
 
-def actions_table(spark) -> DataFrame:
-    """Recommended actions per class as a small dimension table."""
-    rows = [(c, list(K.RECOMMENDED_ACTIONS.get(c, K.DEFAULT_ACTIONS))) for c in K.EVENT_CLASSES]
-    return spark.createDataFrame(rows, "event_class string, actions array<string>")
+def recommended_actions(event_class="event_class") -> Column:
+    """Recommended actions of a class; unknown classes get the default list."""
+    listed = lambda items: F.array(*[F.lit(i) for i in items])
+    case = F
+    for name, items in K.RECOMMENDED_ACTIONS.items():
+        case = case.when(F.col(event_class) == name, listed(items))
+    return case.otherwise(listed(K.DEFAULT_ACTIONS))
 
 
 def with_actions(events: DataFrame) -> DataFrame:
-    """Recommended actions of the event class; unknown classes get the default list."""
-    known = actions_table(events.sparkSession)
-    default = F.array(*[F.lit(a) for a in K.DEFAULT_ACTIONS])
-    joined = events.join(F.broadcast(known), "event_class", "left")  # eleven rows
-    return joined.withColumn("actions", F.coalesce("actions", default))
+    return events.withColumn("actions", recommended_actions())
 
 
 def headline() -> Column:

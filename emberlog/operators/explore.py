@@ -41,13 +41,16 @@ def with_status(events: DataFrame, status: str = "All") -> DataFrame:
 
 
 def in_time_range(events: DataFrame, choice: str) -> DataFrame:
-    """Events newer than the newest event minus the range (strictly)."""
+    """Events newer than the newest event minus the range (strictly).
+
+    On a table partitioned by ``date`` the bound also prunes folders.
+    """
     if choice not in K.TIME_RANGES:
         return events
-    newest = events.agg(F.max("timestamp").alias("t")).scalar()
-    return events.where(
-        F.unix_micros("timestamp") > F.unix_micros(newest) - K.TIME_RANGES[choice] * 1_000_000
-    )
+    newest = events.agg(F.max("timestamp").alias("t"))
+    start = newest.select(F.col("t") - F.make_dt_interval(secs=F.lit(K.TIME_RANGES[choice]))).scalar()
+    recent = events.where(F.col("timestamp") > start)
+    return recent.where(F.col("date") >= F.to_date(start)) if "date" in events.columns else recent
 
 
 def high_risk(events: DataFrame) -> DataFrame:

@@ -15,6 +15,7 @@ from emberlog.functions import text, timing
 from emberlog.operators.ordering import event_id, with_row_index
 from emberlog.operators.skew import attach_by_key
 from emberlog.params import DEFAULTS, Params
+from emberlog.session import store
 
 SIGNATURE = ["template", "service", "event_class", "window_start", "hour", "message_length"]
 VECTOR_KEY = ["event_class", "hour", "message_length", "tmpl_freq", "svc_freq", "burst"]
@@ -58,7 +59,7 @@ def clean(logs: DataFrame, params: Params = DEFAULTS) -> DataFrame:
 
 def with_event_ids(cleaned: DataFrame) -> DataFrame:
     """Dense position in time order (input order breaks ties) and the id built on it."""
-    indexed = with_row_index(cleaned, "timestamp", "line_no")
+    indexed = with_row_index(cleaned, "timestamp", "line_no", keep=store)
     return indexed.withColumn("event_id", event_id())
 
 

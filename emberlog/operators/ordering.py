@@ -9,15 +9,16 @@ from emberlog.session import cut_lineage
 _SHIFT = 33  # monotonically_increasing_id keeps the partition above this bit
 
 
-def with_row_index(df: DataFrame, *order, name: str = "row_idx") -> DataFrame:
+def with_row_index(df: DataFrame, *order, name: str = "row_idx", keep=cut_lineage) -> DataFrame:
     """Dense 0-based position in the total order ``order`` (which must be unique).
 
     A range shuffle sorts the rows, the position inside the partition is read
-    off ``monotonically_increasing_id`` in the same stage, and the checkpoint
-    freezes it.  The offsets table has one row per partition.
+    off ``monotonically_increasing_id`` in the same stage, and ``keep`` (a
+    checkpoint, or ``store`` for wide tables) freezes it.  The offsets table
+    has one row per partition.
     """
     ordered = df.repartitionByRange(*order).sortWithinPartitions(*order)
-    frozen = cut_lineage(ordered.withColumn("_mid", F.monotonically_increasing_id()))
+    frozen = keep(ordered.withColumn("_mid", F.monotonically_increasing_id()))
     part = F.shiftright(F.col("_mid"), _SHIFT)
     inside = F.col("_mid") - F.shiftleft(part, _SHIFT)
     sizes = frozen.groupBy(part.alias("_part")).agg(F.count("*").alias("_size"))

@@ -55,15 +55,12 @@ def window_items(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def _counted(found: DataFrame, windows: Column, minimum: float) -> DataFrame:
+def _counted(found: DataFrame, keys: list[str], windows: Column, minimum: float) -> DataFrame:
     """Item sets (array ``items``) with count and support, frequent ones only."""
-    support = F.col("found") / windows
-    return (
-        found.groupBy("items")
-        .agg(F.count("*").alias("found"))
-        .withColumn("support", support)
-        .where((F.col("support") >= minimum) & (windows >= MIN_WINDOWS))
-    )
+    counts = found.groupBy(*keys).agg(F.count("*").alias("found"))
+    return counts.select(
+        F.array(*keys).alias("items"), "found", (F.col("found") / windows).alias("support")
+    ).where((F.col("support") >= minimum) & (windows >= MIN_WINDOWS))
 
 
 def frequent_itemsets(items: DataFrame, params: Params = DEFAULTS) -> DataFrame:
@@ -78,21 +75,21 @@ def frequent_itemsets(items: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     items = cut_lineage(items)
     windows = F.lit(items.select("win").distinct().count())
     minimum = params.min_support
-    singles = _counted(items.select(F.array("item").alias("items")), windows, minimum)
+    singles = _counted(items.select(F.col("item").alias("a")), ["a"], windows, minimum)
     keep = singles.select(F.col("items")[0].alias("item"))
-    baskets = (
-        items.join(keep, "item", "left_semi").groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("basket"))
-    )
+    # baskets are small but fan out a lot, so adaptive coalescing must not merge them
+    slots = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    frequent = items.join(keep, "item", "left_semi").repartition(slots, "win")
+    baskets = frequent.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("basket"))
     longer = lambda last: F.filter("basket", lambda x: x > last)
-    pairs_in = baskets.select(
-        "basket", F.explode("basket").alias("a")
-    ).select("basket", "a", F.explode(longer(F.col("a"))).alias("b"))
-    pairs = _counted(pairs_in.select(F.array("a", "b").alias("items")), windows, minimum)
+    firsts = baskets.select("basket", F.explode("basket").alias("a"))
+    pairs_in = firsts.select("basket", "a", F.explode(longer(F.col("a"))).alias("b"))
+    pairs = cut_lineage(_counted(pairs_in, ["a", "b"], windows, minimum))
     pair_keys = pairs.select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"))
     triples_in = pairs_in.join(pair_keys, ["a", "b"], "left_semi").select(
         "a", "b", F.explode(longer(F.col("b"))).alias("c")
     )
-    triples = _counted(triples_in.select(F.array("a", "b", "c").alias("items")), windows, minimum)
+    triples = _counted(triples_in, ["a", "b", "c"], windows, minimum)
     found = singles.unionByName(pairs).unionByName(triples)
     return cut_lineage(found.withColumns({"size": F.size("items"), "windows_total": windows}))
 

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from dataclasses import dataclass, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -14,7 +14,7 @@ from emberlog.operators.dbscan import DensityModel
 from emberlog.operators.forest import Forest, fit_forest, scale_scores
 from emberlog.operators.neighbours import density_parameters
 from emberlog.params import DEFAULTS, Params
-from emberlog.session import cut_lineage
+from emberlog.session import cut_lineage, store
 
 EVENT_COLUMNS = (
     "event_id", "timestamp", "hostname", "service", "service_raw", "event_class", "message", "status",
@@ -69,6 +69,10 @@ class Analysis:
     def anomalies(self) -> DataFrame:
         return self.events.where(F.col("status") == "ANOMALY")
 
+    def materialised(self) -> "Analysis":
+        """The same run with the event table written out, for many queries on it."""
+        return replace(self, scored=store(self.scored))
+
 
 @dataclass
 class _Prepared:
@@ -81,8 +85,8 @@ class _Prepared:
 
 def _prepare(logs: DataFrame, params: Params) -> _Prepared:
     indexed = X.with_event_ids(X.clean(logs, params))
-    signatures = cut_lineage(X.signatures(indexed))
-    vectors = cut_lineage(X.vectors(signatures))
+    signatures = store(X.signatures(indexed))
+    vectors = store(X.vectors(signatures))
     rows, top = vectors.agg(F.sum("weight"), F.max("tmpl_freq")).first()
     if not rows:
         raise ValueError("the input holds no events")
@@ -107,6 +111,7 @@ def analyze(logs: DataFrame, params: Params = DEFAULTS) -> Analysis:
         given = logs.where(F.col("dbscan_cluster").isNull()).isEmpty()
     verdict_columns = [*X.VECTOR_KEY, "anomaly_score"]
     if not given:
+        prepared.indexed = prepared.indexed.drop("dbscan_cluster")
         eps, samples, derived = density_parameters(points, prepared.rows, params)
         clusters = DensityModel(points, eps, samples).clusters()
         points = points.join(clusters.select(*X.VECTOR_KEY, "dbscan_cluster"), X.VECTOR_KEY)
@@ -164,16 +169,19 @@ def score_unseen(
 
 
 def stage_counts(events: DataFrame) -> DataFrame:
-    """One row of counts per stage of a run."""
+    """One row of counts per stage of a run (distinct counts over a small pre-aggregate)."""
     noise, forest = F.col("dbscan_noise"), F.col("iforest_noise")
-    return events.agg(
-        F.count("*").alias("input_rows"),
+    keys = ("service", "event_class", "dbscan_cluster", "dbscan_noise", "iforest_noise")
+    counted = events.groupBy(*keys).agg(F.count("*").alias("n"))
+    total = lambda flag: F.coalesce(F.sum(F.when(flag, F.col("n"))), F.lit(0))
+    return counted.agg(
+        total(F.lit(True)).alias("input_rows"),
         F.countDistinct("service").alias("services"),
         F.countDistinct("event_class").alias("event_classes"),
         F.countDistinct(F.when(~noise, F.col("dbscan_cluster"))).alias("dbscan_clusters"),
-        F.count_if(noise).alias("dbscan_noise"),
-        F.count_if(forest).alias("isolation_forest_anomalies"),
-        F.count_if(noise | forest).alias("ensemble_anomalies"),
+        total(noise).alias("dbscan_noise"),
+        total(forest).alias("isolation_forest_anomalies"),
+        total(noise | forest).alias("ensemble_anomalies"),
     )
 
 

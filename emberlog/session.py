@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -30,8 +31,19 @@ def ensure_checkpoint_dir(spark: SparkSession) -> str:
     return sc.getCheckpointDir()
 
 
+def store(df: DataFrame) -> DataFrame:
+    """Write a large table to the shared folder and go on from the files.
+
+    Later steps read only the columns they use, and the planner knows the real
+    size.  The files survive the loss of any executor.
+    """
+    folder = f"{ensure_checkpoint_dir(df.sparkSession)}/tables/{uuid.uuid4().hex}"
+    df.write.parquet(folder)
+    return df.sparkSession.read.schema(df.schema).parquet(folder)
+
+
 def cut_lineage(df: DataFrame) -> DataFrame:
-    """Reliable checkpoint: the result survives the loss of any executor."""
+    """Reliable checkpoint, for the narrow tables of iterative steps."""
     ensure_checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 

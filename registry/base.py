@@ -15,7 +15,7 @@ from emberlog.operators.dbscan import DensityModel
 from emberlog.operators.explain import explain
 from emberlog.params import DEFAULTS
 from emberlog.plans.analysis import score_events
-from emberlog.session import cut_lineage
+from emberlog.session import store
 from registry.logs import logs_table
 
 _BUILT: dict[tuple, DataFrame] = {}
@@ -38,7 +38,7 @@ def frequency_table(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def vector_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Scaled distinct vectors of the whole log table."""
-    build = lambda: cut_lineage(X.vectors(X.signatures(cleaned_table(spark, sf_dir))))
+    build = lambda: store(X.vectors(X.signatures(cleaned_table(spark, sf_dir))))
     return X.feature_vectors(_once("vectors", spark, sf_dir, build))
 
 
@@ -49,13 +49,13 @@ def stand_in_score() -> dict:
 
 def _build_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
     indexed = X.with_event_ids(cleaned_table(spark, sf_dir))
-    signatures = cut_lineage(X.signatures(indexed))
-    vectors = cut_lineage(X.vectors(signatures))
+    signatures = store(X.signatures(indexed))
+    vectors = store(X.vectors(signatures))
     clusters = DensityModel(X.feature_vectors(vectors), DEFAULTS.eps, DEFAULTS.min_samples).clusters()
     verdicts = clusters.select(*X.VECTOR_KEY, "dbscan_cluster", F.col("noise").alias("dbscan_noise"))
     rows = X.attach(indexed, signatures.join(verdicts, X.VECTOR_KEY)).withColumns(stand_in_score())
     top = vectors.agg(F.max("tmpl_freq")).first()[0]
-    return cut_lineage(score_events(rows, top))
+    return store(score_events(rows, top))
 
 
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
