@@ -80,6 +80,11 @@ CSV_ALIASES = {
     "label": ("label", "actual_label", "is_anomaly", "anomaly", "ground_truth"),
 }
 CSV_REQUIRED = ("timestamp", "message")
+# cell texts that mean "no value"
+CSV_NULL_TEXTS = (
+    "", "#N/A", "#N/A N/A", "#NA", "-1.#IND", "-1.#QNAN", "-NaN", "-nan", "1.#IND", "1.#QNAN",
+    "<NA>", "N/A", "NA", "NULL", "NaN", "None", "n/a", "nan", "null",
+)
 
 # --- fixed values: classification phrases (on the lower-cased message) -------
 AUTH_FAIL_TEXTS = (

@@ -5,18 +5,25 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import constants as K
-from emberlog.sources.text_logs import require_rows, resolve_timestamps
+from emberlog.sources.text_logs import REPLACEMENT, require_rows, resolve_timestamps
 
 
 def read_csv_rows(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
-    """Every column as text.  ``multi_line=False`` lets Spark split large files."""
+    """Every column as text, cells that mean "no value" as null.
+
+    ``multi_line=False`` lets Spark split large files.
+    """
     rows = (
         spark.read.option("header", True)
         .option("multiLine", multi_line)
         .option("escape", '"')
         .csv(path)
     )
-    return rows.withColumn("line_no", F.monotonically_increasing_id())
+    cells = []
+    for name in rows.columns:
+        text = F.translate(F.col(f"`{name}`"), REPLACEMENT, "")
+        cells.append(F.when(~text.isin(*K.CSV_NULL_TEXTS), text).alias(name))
+    return rows.select(*cells, F.monotonically_increasing_id().alias("line_no"))
 
 
 def map_headers(names) -> dict[str, str]:

@@ -14,6 +14,7 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 from emberlog import constants as K
 from emberlog.functions.text import FLAGS, WHITESPACE
 
+REPLACEMENT = "\ufffd"  # what the reader puts in place of bytes that are not UTF-8
 LOG_COLUMNS = ("line_no", "timestamp", "hostname", "service", "pid", "message")
 
 # Other spellings tried once the ISO cast has failed.
@@ -35,7 +36,7 @@ def read_text_lines(spark: SparkSession, path) -> DataFrame:
     """One row per line; bytes that are not UTF-8 are dropped from the text."""
     return spark.read.text(path).select(
         F.monotonically_increasing_id().alias("line_no"),
-        F.regexp_replace("value", "�", "").alias("value"),
+        F.translate(F.col("value"), REPLACEMENT, "").alias("value"),
     )
 
 
@@ -172,19 +173,3 @@ def require_rows(rows: DataFrame) -> None:
         )
     if rows.where(F.col("timestamp").isNotNull()).isEmpty():
         raise ValueError("No rows with a valid timestamp were found in this input.")
-
-
-__all__ = [
-    "LOG_COLUMNS",
-    "classic_time",
-    "flexible_time",
-    "parse_lines",
-    "parse_report",
-    "read_text_lines",
-    "read_text_logs",
-    "rejected_lines",
-    "require_rows",
-    "resolve_timestamps",
-    "source_size_kb",
-    "to_logs",
-]

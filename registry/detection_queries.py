@@ -12,6 +12,7 @@ from emberlog.operators.forest import fit_forest, scale_scores
 from emberlog.operators.neighbours import density_parameters as derive
 from emberlog.params import DEFAULTS
 from emberlog.plans.analysis import analyze, score_unseen
+from emberlog.session import cut_lineage
 from registry.base import scored_table, vector_table
 from registry.catalogue import query
 from registry.logs import logs_table
@@ -72,7 +73,7 @@ def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomaly score and flag of every distinct vector."""
     points = vector_table(spark, sf_dir)
     forest = fit_forest(points)
-    scored = forest.score(points)
+    scored = cut_lineage(forest.score(points))
     return scale_scores(scored, forest.threshold).select(
         *X.VECTOR_KEY, "weight", "anomaly_score", "iforest_noise", "model_prob"
     )

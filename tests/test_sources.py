@@ -91,7 +91,7 @@ def test_csv_aliases_quotes_and_defaults(spark, tmp_path):
     path.write_text(
         'Date,Time,Msg,Level,Actual_Label\n'
         'x,2024-03-01 10:00:00,"said ""hi"",\nthen left",error,1\n'
-        "x,03/02/2024 11:00:00,plain,,0\n"
+        "x,03/02/2024 11:00:00,plain,NA,0\n"
         "x,not a time,dropped,,0\n"
     )
     got = [tuple(r) for r in csv_logs.read_csv_logs(spark, str(path)).orderBy("timestamp").select(
