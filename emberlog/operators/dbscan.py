@@ -59,36 +59,24 @@ class _Metric:
     def near(self, squared: Column) -> Column:
         return F.round(squared, 9) <= F.lit(self.limit)
 
-    def _sum(self, term, blocks) -> Column:
-        total = F.lit(0.0)
-        for d in self.dims:
-            gap = term(d)
-            total = total + gap * gap
+    def _squares(self, gap: str, blocks, **names) -> Column:
+        """Sum of the squared gaps over the features, plus the class gap where classes may differ."""
+        gaps = [gap.format(d=d, **names) for d in self.dims]
+        total = " + ".join(f"({g}) * ({g})" for g in gaps)
         if not self.blocked and blocks is not None:
-            total = total + F.when(blocks[0] == blocks[1], 0.0).otherwise(BLOCK_GAP)
-        return total
+            total += f" + IF({blocks[0]} = {blocks[1]}, 0D, {BLOCK_GAP}D)"
+        return F.expr(total)
 
     def points(self, a: str, b: str, blocks=None) -> Column:
-        return self._sum(lambda d: F.col(f"{a}.{d}") - F.col(f"{b}.{d}"), blocks)
+        return self._squares("{a}.{d} - {b}.{d}", blocks, a=a, b=b)
 
     def boxes_min(self, lo_a, hi_a, lo_b, hi_b, blocks=None) -> Column:
-        return self._sum(
-            lambda d: F.greatest(
-                F.lit(0.0),
-                F.col(f"{lo_b}.{d}") - F.col(f"{hi_a}.{d}"),
-                F.col(f"{lo_a}.{d}") - F.col(f"{hi_b}.{d}"),
-            ),
-            blocks,
-        )
+        gap = "greatest(0D, {lo_b}.{d} - {hi_a}.{d}, {lo_a}.{d} - {hi_b}.{d})"
+        return self._squares(gap, blocks, lo_a=lo_a, hi_a=hi_a, lo_b=lo_b, hi_b=hi_b)
 
     def boxes_max(self, lo_a, hi_a, lo_b, hi_b, blocks=None) -> Column:
-        return self._sum(
-            lambda d: F.greatest(
-                F.col(f"{hi_b}.{d}") - F.col(f"{lo_a}.{d}"),
-                F.col(f"{hi_a}.{d}") - F.col(f"{lo_b}.{d}"),
-            ),
-            blocks,
-        )
+        reach = "greatest({hi_b}.{d} - {lo_a}.{d}, {hi_a}.{d} - {lo_b}.{d})"
+        return self._squares(reach, blocks, lo_a=lo_a, hi_a=hi_a, lo_b=lo_b, hi_b=hi_b)
 
     def cell_key(self, level: int = 0) -> Column:
         size = self.side / 2**level
@@ -142,7 +130,8 @@ class DensityModel:
         )
         # half of the surrounding grid is enough: each pair is met from one side
         steps = [s for s in itertools.product((-1, 0, 1), repeat=len(names)) if s >= (0,) * len(names)]
-        offsets = F.array(*[F.struct(*[F.lit(v).alias(n) for v, n in zip(s, names)]) for s in steps])
+        step = lambda s: "named_struct(" + ", ".join(f"'{n}', {v}" for v, n in zip(s, names)) + ")"
+        offsets = F.expr("array(" + ", ".join(step(s) for s in steps) + ")")
         kept = ["cell", BLOCK, "n_vec", "lo", "hi", "rep", "dense"]
         a = located.withColumn("_step", F.explode(offsets)).select(
             *[F.col(c).alias("a_" + c) for c in kept],
@@ -157,7 +146,7 @@ class DensityModel:
             a = a.withColumn("_block", F.col("a_" + BLOCK))
             b = b.withColumn("_block", F.col("b_" + BLOCK))
             on.append("_block")
-        blocks = (F.col("a_" + BLOCK), F.col("b_" + BLOCK))
+        blocks = ("a_" + BLOCK, "b_" + BLOCK)
         pairs = a.join(b, on).where(~F.col("_home") | (F.col("a_cell") < F.col("b_cell")))
         return pairs.where(m.near(m.boxes_min("a_lo", "a_hi", "b_lo", "b_hi", blocks))).drop(
             *on, "_home"
@@ -179,7 +168,7 @@ class DensityModel:
         splits = lambda n: F.least(F.ceil(n / F.lit(SPLIT_CELL)), F.lit(MAX_SPLITS)).cast("int")
         probes = (
             thin.join(directed, "cell")
-            .where(m.near(m.boxes_min("p", "p", "lo", "hi", (F.col(BLOCK), F.col("other_block")))))
+            .where(m.near(m.boxes_min("p", "p", "lo", "hi", (BLOCK, "other_block"))))
             .select(
                 F.col("vec").alias("v"), F.col("cell").alias("v_cell"), F.col("p").alias("v_p"),
                 F.col(BLOCK).alias("v_block"), "other",
@@ -192,7 +181,7 @@ class DensityModel:
             F.pmod(F.xxhash64("vec"), splits(F.col("n_vec"))).cast("int").alias("split"),
         )
         met = probes.join(targets, ["other", "split"])
-        return met.where(m.near(m.points("v_p", "u_p", (F.col("v_block"), F.col("u_block"))))).select(
+        return met.where(m.near(m.points("v_p", "u_p", ("v_block", "u_block")))).select(
             "v", "v_cell", "u", F.col("other").alias("u_cell"), "u_weight", "u_dense"
         )
 
@@ -234,7 +223,7 @@ class DensityModel:
     def _dense_links(self) -> DataFrame:
         """Pairs of dense cells that hold at least one pair within eps."""
         m = self.metric
-        blocks = (F.col("a_" + BLOCK), F.col("b_" + BLOCK))
+        blocks = ("a_" + BLOCK, "b_" + BLOCK)
         pairs = cut_lineage(
             self.cell_pairs.where(F.col("a_dense") & F.col("b_dense")).select(
                 F.col("a_cell").alias("a"), F.col("b_cell").alias("b"), "a_n_vec", "b_n_vec",
@@ -247,7 +236,7 @@ class DensityModel:
         dense = self.points.where("dense").select("cell", "vec", "p", BLOCK)
         direct = self._side(self._side(undecided.where(small), dense, "a"), dense, "b")
         direct = direct.where(
-            m.near(m.points("a_p", "b_p", (F.col("a_block"), F.col("b_block"))))
+            m.near(m.points("a_p", "b_p", ("a_block", "b_block")))
         ).select("a", "b")
         links = pairs.where("sure").select("a", "b").unionByName(direct)
         for found in self._split_links(undecided.where(~small).select("a", "b"), dense):
@@ -283,7 +272,7 @@ class DensityModel:
                     *[F.col(c).alias(f"{side}_{c}") for c in ("part", "n", "lo", "hi", "rep", BLOCK)],
                 )
                 both = both.join(named, [side, side + "_sub"])
-            blocks = (F.col("a_" + BLOCK), F.col("b_" + BLOCK))
+            blocks = ("a_" + BLOCK, "b_" + BLOCK)
             judged = cut_lineage(
                 both.where(m.near(m.boxes_min("a_lo", "a_hi", "b_lo", "b_hi", blocks))).select(
                     "a", "b", F.col("a_part").alias("a_sub"), F.col("b_part").alias("b_sub"),
