@@ -227,14 +227,18 @@ def earliest_per_key(events: DataFrame, key: str, limit: int = 100) -> DataFrame
 
 
 def related_events(events: DataFrame, seeds: DataFrame, key: str, limit: int = 100) -> DataFrame:
-    """(seed_id, rank, event columns): earliest events sharing the seed's ``key`` value.
+    """(seed_id, event columns, rank): earliest events sharing the seed's ``key`` value.
 
-    The list depends on the key alone, so it is built once per key and then
-    joined to the seeds; seeds are never paired with all events of a key.
+    The list depends on the key alone, so it is built once per key (``limit``
+    events at most) and then attached to the seeds, a hot key's seeds being
+    spread.  Seeds are never paired with all events of a key.
     """
     first = earliest_per_key(events, key, limit)
-    wanted = seeds.select(F.col("event_id").alias("seed_id"), key)
-    return wanted.join(first, key)
+    listed = first.groupBy(key).agg(F.collect_list(F.struct(*first.columns)).alias("related"))
+    wanted = seeds.where(F.col(key).isNotNull()).select(F.col("event_id").alias("seed_id"), key)
+    asked = wanted.groupBy(key).agg(F.count("*").alias("seed_rows"))
+    told = attach_by_key(wanted, listed.join(asked, key), [key], F.col("seed_id"), "seed_rows")
+    return told.select("seed_id", F.inline("related"))
 
 
 def key_totals(events: DataFrame, key: str) -> DataFrame:

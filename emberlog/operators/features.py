@@ -69,15 +69,16 @@ def signatures(cleaned: DataFrame) -> DataFrame:
     counted = cleaned.groupBy(*SIGNATURE).agg(
         F.count("*").alias("n"), F.min(order).alias("first_row")
     )
-    template = counted.groupBy("template").agg(F.sum("n").alias("tmpl_freq"))
-    service = counted.groupBy("service").agg(F.sum("n").alias("svc_freq"))
-    burst_key = ["service", "event_class", "window_start"]
-    burst = counted.groupBy(*burst_key).agg(F.sum("n").alias("burst"))
-    return (
-        counted.join(template, "template")
-        .join(service, "service")
-        .join(burst, burst_key)
-    )
+    out = counted
+    spread_by = F.struct("window_start", "message_length", "template")
+    for keys, name in (
+        (["template"], "tmpl_freq"),
+        (["service"], "svc_freq"),
+        (["service", "event_class", "window_start"], "burst"),
+    ):
+        totals = counted.groupBy(*keys).agg(F.sum("n").alias(name), F.count("*").alias("_rows"))
+        out = attach_by_key(out, totals, keys, spread_by, "_rows").drop("_rows")
+    return out
 
 
 def attach(cleaned: DataFrame, facts: DataFrame) -> DataFrame:

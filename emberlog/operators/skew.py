@@ -15,9 +15,9 @@ def attach_by_key(
     keys: list[str],
     spread_by: Column,
     count: str,
-    hot_rows: int = HOT_ROWS,
+    hot_rows: int | None = None,
 ) -> DataFrame:
-    """Left rows with the columns of ``facts``, whose ``count`` is the rows per key.
+    """Left rows with the columns of ``facts``, whose ``count`` is the left rows per key.
 
     At most ``HOT_KEYS`` of the largest keys are broadcast: that bound holds
     whatever the data, and by pigeonhole every other key owns less than
@@ -28,7 +28,7 @@ def attach_by_key(
     """
     payload = [c for c in facts.columns if c not in keys]
     hot = (
-        facts.where(F.col(count) >= hot_rows)
+        facts.where(F.col(count) >= (HOT_ROWS if hot_rows is None else hot_rows))
         .orderBy(F.col(count).desc(), *keys)
         .limit(HOT_KEYS)
         .select(*keys, F.struct(*payload).alias("_hot"))
