@@ -108,12 +108,12 @@ FROM doc_words LEFT JOIN words_hit USING (r) LEFT JOIN items_hit USING (r)
 
 OP6_SQL = """
 WITH v AS (
-  SELECT vec_id, list_transform(embedding, x -> CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
+  SELECT vec_id, list_transform(embedding, lambda x: CAST(floor(1024 * CAST(x AS DOUBLE)) AS BIGINT)) AS q FROM embeddings
   WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
-    AND len(list_filter(embedding, x -> x IS NULL OR NOT isfinite(x))) = 0),
+    AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0),
 scored AS (
   SELECT a.vec_id AS query_id, b.vec_id AS vec_id,
-    CAST(list_sum(list_transform(range(1, len(a.q) + 1), i -> a.q[i] * b.q[i])) AS BIGINT) AS score
+    CAST(list_sum(list_transform(range(1, len(a.q) + 1), lambda i: a.q[i] * b.q[i])) AS BIGINT) AS score
   FROM v a JOIN v b ON a.vec_id % 100 = 0 AND a.vec_id <> b.vec_id AND len(a.q) = len(b.q)),
 ranked AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score DESC, vec_id) AS rank FROM scored)
 SELECT query_id, CAST(rank AS INTEGER) AS rank, vec_id, score FROM ranked WHERE rank <= 10
@@ -131,7 +131,7 @@ gone AS (
 lost AS (SELECT r, list(p) AS p FROM gone GROUP BY r)
 SELECT doc_id, CAST(len(w) AS BIGINT) AS n_words, CAST(coalesce(len(p), 0) AS BIGINT) AS n_removed,
   sha256(array_to_string(CASE WHEN p IS NULL THEN w
-    ELSE list_transform(list_filter(range(1, len(w) + 1), i -> NOT list_contains(p, i)), i -> w[i]) END, ' ')) AS kept_sha256
+    ELSE list_transform(list_filter(range(1, len(w) + 1), lambda i: NOT list_contains(p, i)), lambda i: w[i]) END, ' ')) AS kept_sha256
 FROM w LEFT JOIN lost USING (r)
 """
 
@@ -141,12 +141,12 @@ WITH RECURSIVE w AS (
     '[^\x20\x09-\x0D]+') AS w FROM documents),
 sets AS (
   SELECT doc_id, CASE WHEN len(w) = 0 THEN [] WHEN len(w) = 1 THEN w
-    ELSE list_distinct(list_transform(range(1, len(w)), i -> w[i] || ' ' || w[i + 1])) END AS s FROM w),
+    ELSE list_distinct(list_transform(range(1, len(w)), lambda i: w[i] || ' ' || w[i + 1])) END AS s FROM w),
 one AS (SELECT doc_id, len(s) AS n, unnest(s) AS x FROM sets),
 rare AS (SELECT x, count(*) AS df FROM one GROUP BY x HAVING count(*) > 1),
 placed AS (
-  SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(df, 1), x) AS at FROM one LEFT JOIN rare USING (x)),
-lead_ AS (SELECT doc_id, n, x FROM placed WHERE at <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1),
+  SELECT doc_id, n, x, row_number() OVER (PARTITION BY doc_id ORDER BY coalesce(df, 1), x) AS pos FROM one LEFT JOIN rare USING (x)),
+lead_ AS (SELECT doc_id, n, x FROM placed WHERE pos <= n - CAST(ceil(0.8 * n) AS BIGINT) + 1),
 maybe AS (
   SELECT DISTINCT a.doc_id AS a, b.doc_id AS b FROM lead_ a JOIN lead_ b ON a.x = b.x AND a.doc_id < b.doc_id
     AND 100 * least(a.n, b.n) >= 80 * greatest(a.n, b.n)),
