@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from emberlog.llm import hashing as H
-from emberlog.llm.common import attach, keyed, small_batches
+from emberlog.llm.common import attach, keyed, small_batches, stored
 from emberlog.llm.repeats import block_table, discard, open_blocks, ranges_of, ranges_per_text, settled
 
 SPAN = 50
@@ -134,17 +134,18 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     order = F.coalesce(F.col("doc_id"), F.lit(_LAST))
     table = settled(block_table(texts, blocks))
     shared = table.groupBy("sym").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low < high")
-    kept = settled(table.join(shared.select("sym"), "sym"))
+    # sums are stored before they are joined back, so that the joins stand alone and hot keys can be split
+    kept = settled(table.join(stored(shared.select("sym")), "sym"))
     discard(table)
     bodies = settled(kept.groupBy("sym", "body").agg(F.min(order).alias("earliest")))
     held = kept.join(bodies, ["sym", "body"])
     whole = held.where(order > F.col("earliest")).select("doc_id", "th", F.col("first").alias("from"), (F.col("last") + SPAN).alias("to"))
     mixed = bodies.groupBy("sym").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high")
     earliest = held.where(order == F.col("earliest")).select("doc_id", "th", "first", "last", "sym", "body")
-    opened = settled(open_blocks(texts, earliest.join(mixed.select("sym"), "sym"), windows))
+    opened = settled(open_blocks(texts, earliest.join(stored(mixed.select("sym")), "sym"), windows))
     sources = opened.groupBy("sym", "wh").agg(F.min(order).alias("low"), F.max(order).alias("high")).where("low < high")
     single = (
-        opened.join(sources, ["sym", "wh"])
+        opened.join(stored(sources), ["sym", "wh"])
         .where(order > F.col("low"))
         .select("doc_id", "th", F.col("at").alias("from"), (F.col("at") + SPAN).alias("to"))
     )
