@@ -152,9 +152,10 @@ def components(edges: DataFrame) -> DataFrame:
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m"))
+        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
         large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        low = large.groupBy("a").agg(F.min("b").alias("m"))
+        large = stored(large)
+        low = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         hung = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         new = stored(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
         if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
@@ -183,7 +184,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
         .withColumn("node", F.monotonically_increasing_id())
     )
     spread = nodes.select("node", F.explode("bands").alias("key"))
-    crowded = spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key")
+    crowded = stored(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     members = settled(spread.join(crowded, "key"))
     involved = members.select("node").distinct()
     sets = settled(_sets(docs, nodes.select("node", "sample.*").join(involved, "node"), width))
@@ -221,10 +222,10 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
     else:
         placed = nodes.select("node", "set_a", "set_b", "smallest").join(labels, "node", "left")
         placed = stored(placed.withColumn("comp", F.coalesce("comp", "node")))
-        lowest = placed.groupBy("comp").agg(F.min("smallest").alias("component_id"))
+        lowest = stored(placed.groupBy("comp").agg(F.min("smallest").alias("component_id")))
         grouped = placed.join(lowest, "comp").select("set_a", "set_b", "component_id")
     rows = signed.select("doc_id", "n", "set_a", "set_b")
-    known = grouped.withColumnsRenamed({"set_a": "_a", "set_b": "_b"})
+    known = stored(grouped).withColumnsRenamed({"set_a": "_a", "set_b": "_b"})
     full = rows.join(known, (F.col("n") > 0) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")), "left")
     component = F.when(F.col("component_id").isNull(), F.col("doc_id")).when(
         F.col("component_id") < _LAST, F.col("component_id")

@@ -15,7 +15,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from emberlog.llm import hashing as H
-from emberlog.llm.common import attach, keyed, small_batches
+from emberlog.llm.common import attach, keyed, small_batches, stored
 from emberlog.llm.repeats import block_table, discard, open_blocks, ranges_of, ranges_per_text, settled
 
 SPAN = 200
@@ -83,7 +83,8 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
     texts = keyed(docs)
     table = settled(block_table(texts, blocks))
     shared = table.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1")
-    kept = settled(table.join(shared.select("sym"), "sym"))
+    # sums are stored before they are joined back, so that the joins stand alone and hot keys can be split
+    kept = settled(table.join(stored(shared.select("sym")), "sym"))
     discard(table)
     sample = F.struct("doc_id", "th", "first", "last")
     bodies = settled(kept.groupBy("sym", "body").agg(F.count("*").alias("n"), F.min(sample).alias("at")))
@@ -91,10 +92,10 @@ def repeated_spans(docs: DataFrame) -> DataFrame:
         "doc_id", "th", F.col("first").alias("from"), (F.col("last") + SPAN).alias("to")
     )
     mixed = bodies.groupBy("sym").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high")
-    samples = bodies.join(mixed.select("sym"), "sym").select("at.*", "sym", "body")
+    samples = bodies.join(stored(mixed.select("sym")), "sym").select("at.*", "sym", "body")
     opened = settled(open_blocks(texts, samples, windows))
     twice = opened.groupBy("sym", "wh").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high")
-    single = opened.join(twice.select("sym", "wh"), ["sym", "wh"]).select(
+    single = opened.join(stored(twice.select("sym", "wh")), ["sym", "wh"]).select(
         "doc_id", "th", F.col("at").alias("from"), (F.col("at") + SPAN).alias("to")
     )
     return ranges_per_text(whole.unionByName(single))
