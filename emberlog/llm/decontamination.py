@@ -92,7 +92,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     marked = stored(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("span", "mark")).alias("marks")))
 
     # extend: the windows that start where a joined mark is kept, compared as words
-    suspects = attach(texts.dropDuplicates(["doc_id", "th"]), marked, "inner").select(
+    suspects = attach(texts, marked, "inner").select(
         "doc_id", "th", "marks", words_of(F.col("text")).alias("words")
     )
     ranges = None
@@ -103,7 +103,7 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         at = at.where(F.array_contains("own", F.col("mark")))
         window = F.array_join(F.slice("words", F.col("at") + 1, span), " ")
         here = at.select("doc_id", "th", "at", F.size("words").alias("n_words"), window.alias("window"))
-        known = windows.where(F.col("span") == span).groupBy("window").agg(F.collect_set("item_id").alias("ids"))
+        known = stored(windows.where(F.col("span") == span).groupBy("window").agg(F.collect_set("item_id").alias("ids")))
         hit = here.join(known, "window").select(
             "doc_id", "th", "n_words", F.struct(F.col("at").alias("from"), (F.col("at") + span).alias("to")).alias("range"), "ids"
         )
