@@ -16,10 +16,12 @@ from pyspark.sql import DataFrame, functions as F
 
 from emberlog.llm import hashing as H
 from emberlog.llm.common import attach, keyed, small_batches, stored
-from emberlog.llm.repeats import block_table, discard, open_blocks, ranges_of, ranges_per_text, settled
+from emberlog.llm.repeats import BLOCKS, discard, ranges_of, ranges_per_text, settled
 
 SPAN = 200
 GRAM = 80
+#: Blocks that stay open are cut into pieces of so many windows, then into single ones.
+PIECES = (8, 1)
 _U = np.uint64
 _PLACE = _U((1 << 20) - 1)
 
@@ -56,49 +58,102 @@ def blocks(texts: list[str]) -> tuple[np.ndarray, ...]:
         tail = np.append(head[1:], len(start)) - 1
         first, last, row = start[head], start[tail], text[head]
         inside = low - text_starts[row]
-        found.append((row, first + inside, last + inside, gram[pick[head]], _b(piece).of(first, last + SPAN)))
+        found.append((row, first + inside, last + inside, gram[pick[head]], _b(piece).of(first, last + SPAN), pick[head] + inside))
     if not found:
-        return tuple(np.array([], t) for t in (np.int64, np.int64, np.int64, _U, _U))
+        return tuple(np.array([], t) for t in (np.int64, np.int64, np.int64, _U, _U, np.int64))
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def windows(texts: list[str], row: np.ndarray, first: np.ndarray, last: np.ndarray) -> tuple[np.ndarray, ...]:
+def pieces(texts: list[str], row, first, last, pick, width: int) -> tuple[np.ndarray, ...]:
+    """Pieces of blocks: windows whose distance to the block's sample has the same quotient by ``width``.
+
+    A piece is named by the bytes that all its windows would share if it were complete, and by all its bytes.
+    """
     data, text_starts = H.joined(texts)
-    count = (last - first + 1).astype(np.int64)
+    low_part, high_part = (pick - last) // width, (pick - first) // width
+    count = (high_part - low_part + 1).astype(np.int64)
     block = np.repeat(np.arange(len(row)), count)
-    at = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count) + first[block]
-    start = text_starts[row[block]] + at
-    wh = np.empty(len(start), _U)
+    part = np.arange(len(block)) - np.repeat(np.cumsum(count) - count, count) + low_part[block]
+    begin = np.maximum(first[block], pick[block] - part * width - (width - 1))
+    end = np.minimum(last[block], pick[block] - part * width)
+    offset = text_starts[row[block]]
+    core = offset + pick[block] - part * width
+    sym, body = np.empty(len(block), _U), np.empty(len(block), _U)
+    start = offset + begin
     order = np.argsort(start, kind="stable")
     placed = start[order]
-    for low, piece in _chunks(data):
+    for low in range(0, len(data), H.CHUNK):
+        piece = data[low : low + H.CHUNK + SPAN + width]
         mine = order[np.searchsorted(placed, low) : np.searchsorted(placed, low + H.CHUNK)]
         if len(mine):
-            wh[mine] = _b(piece).of(start[mine] - low, start[mine] - low + SPAN)
-    return block, at, wh
+            at = core[mine] - low
+            sym[mine] = H.Spans(H._CODES_A[piece], H.BASE_A).of(at, at + SPAN - width + 1)
+            body[mine] = _b(piece).of(start[mine] - low, (offset + end)[mine] - low + SPAN)
+    return block, begin, end, sym, body
+
+
+_PLACED = BLOCKS + ", pick int"
+
+
+def _first_blocks(texts: DataFrame) -> DataFrame:
+    def run(batches):
+        for batch in batches:
+            row, *numbers, sym, body, pick = blocks(batch.column("text").to_pylist())
+            at = pa.array(row)
+            yield _records(batch.column("doc_id").take(at), batch.column("th").take(at), *numbers, sym, body, pick)
+
+    return texts.select("doc_id", "th", "text").mapInArrow(run, _PLACED)
+
+
+def _opened(texts: DataFrame, samples: DataFrame, width: int) -> DataFrame:
+    """The pieces of the blocks ``samples(doc_id, th, first, last, pick)``."""
+    per_text = samples.groupBy("doc_id", "th").agg(F.collect_set(F.struct("first", "last", "pick")).alias("blocks"))
+    wanted = attach(texts, per_text.hint("shuffle_hash"), "inner").select("doc_id", "th", "text", "blocks")
+
+    def run(batches):
+        for batch in batches:
+            column = batch.column("blocks")
+            bounds = column.offsets.to_numpy()
+            row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
+            inner = column.values.slice(bounds[0], bounds[-1] - bounds[0])
+            first, last, pick = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
+            block, begin, end, sym, body = pieces(batch.column("text").to_pylist(), row, first, last, pick, width)
+            at = pa.array(row[block])
+            yield _records(batch.column("doc_id").take(at), batch.column("th").take(at), begin, end, sym, body, pick[block])
+
+    return wanted.mapInArrow(run, _PLACED)
+
+
+def _records(doc_id, th, first, last, sym, body, pick) -> pa.RecordBatch:
+    small = [pa.array(x, pa.int32()) for x in (first, last)]
+    columns = [doc_id, th, *small, H.as_long(sym), H.as_long(body), pa.array(pick, pa.int32())]
+    return pa.record_batch(columns, ["doc_id", "th", "first", "last", "sym", "body", "pick"])
 
 
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, th, ranges)``: byte ranges of windows that start at least twice in the table."""
     texts = keyed(docs)
-    table = settled(block_table(texts, blocks))
-    shared = table.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1")
-    # sums are stored before they are joined back, so that the joins stand alone and hot keys can be split
-    kept = settled(table.join(stored(shared.select("sym")), "sym"))
-    discard(table)
-    sample = F.struct("doc_id", "th", "first", "last")
-    bodies = settled(kept.groupBy("sym", "body").agg(F.count("*").alias("n"), F.min(sample).alias("at")))
-    whole = kept.join(bodies.where("n > 1").select("sym", "body"), ["sym", "body"]).select(
-        "doc_id", "th", F.col("first").alias("from"), (F.col("last") + SPAN).alias("to")
-    )
-    mixed = bodies.groupBy("sym").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high")
-    samples = bodies.join(stored(mixed.select("sym")), "sym").select("at.*", "sym", "body")
-    opened = settled(open_blocks(texts, samples, windows))
-    twice = opened.groupBy("sym", "wh").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high")
-    single = opened.join(stored(twice.select("sym", "wh")), ["sym", "wh"]).select(
-        "doc_id", "th", F.col("at").alias("from"), (F.col("at") + SPAN).alias("to")
-    )
-    return ranges_per_text(whole.unionByName(single))
+    sample = F.struct("doc_id", "th", "first", "last", "pick")
+    found = None
+    table = settled(_first_blocks(texts))
+    for width in (*PIECES, None):
+        shared = table.groupBy("sym").agg(F.count("*").alias("n")).where("n > 1")
+        # sums are stored before they are joined back, so that the joins stand alone and hot keys can be split
+        kept = settled(table.join(stored(shared.select("sym")), "sym"))
+        discard(table)
+        bodies = settled(kept.groupBy("sym", "body").agg(F.count("*").alias("n"), F.min(sample).alias("at")))
+        whole = settled(
+            kept.join(bodies.where("n > 1").select("sym", "body"), ["sym", "body"]).select(
+                "doc_id", "th", F.col("first").alias("from"), (F.col("last") + SPAN).alias("to")
+            )
+        )
+        found = whole if found is None else found.unionByName(whole)
+        discard(kept)
+        if width:
+            mixed = bodies.groupBy("sym").agg(F.min("body").alias("low"), F.max("body").alias("high")).where("low < high")
+            table = settled(_opened(texts, bodies.join(stored(mixed.select("sym")), "sym").select("at.*"), width))
+        discard(bodies)
+    return ranges_per_text(found)
 
 
 def drop_repeats(docs: DataFrame) -> DataFrame:
