@@ -158,7 +158,7 @@ def components(edges: DataFrame) -> DataFrame:
         low = stored(large.groupBy("a").agg(F.min("b").alias("m")))
         hung = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
         new = stored(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        if new.exceptAll(now).isEmpty() and now.exceptAll(new).isEmpty():
+        if _fingerprint(new) == _fingerprint(now):
             break
         now = new
     roots = new.select(F.col("b").alias("node")).distinct().join(new.select(F.col("a").alias("node")), "node", "left_anti")
@@ -167,6 +167,33 @@ def components(edges: DataFrame) -> DataFrame:
     )
 
 
+def _fingerprint(edges: DataFrame) -> tuple:
+    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
+
+
+def _placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
+    """``rows`` with the component ``comp`` of ``node``, by default itself."""
+    if labels is None:
+        return rows.withColumn("comp", F.col("node"))
+    return rows.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
+
+
+def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
+    """The components after some more links; only the components they touch are looked at."""
+    for side in ("a", "b"):
+        rest = [c for c in links.columns if c != side]
+        links = _placed(links.withColumnRenamed(side, "node"), labels).select(F.col("comp").alias(side), *rest)
+    links = stored(links.where("a <> b").distinct())
+    if links.isEmpty():
+        return labels
+    moved = components(links)
+    if labels is None:
+        return stored(moved)
+    to = moved.select(F.col("node").alias("comp"), F.col("comp").alias("to"))
+    old = labels.join(to, "comp", "left").select("node", F.coalesce("to", "comp").alias("comp"))
+    return stored(old.unionByName(moved.join(labels, "node", "left_anti")))
+
+
 def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs(doc_id, text, ...)``.
 
@@ -189,22 +216,21 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
     involved = members.select("node").distinct()
     sets = settled(_sets(docs, nodes.select("node", "sample.*").join(involved, "node"), width))
 
-    edges, labels, left = None, None, members
-    for turn in range(HUB_ROUNDS + 1):
-        if labels is None:
-            placed = left.withColumn("comp", F.col("node"))
-        else:
-            placed = left.join(labels, "node", "left").withColumn("comp", F.coalesce("comp", "node"))
-        placed = stored(placed)
+    labels, left = None, members
+    for turn in range(HUB_ROUNDS + 2):
+        placed = stored(_placed(left, labels))
+        first = F.xxhash64("node", F.lit(turn))  # one order for all buckets, so that they tend to have the same hubs
         mixed = placed.groupBy("key").agg(
-            F.min("comp").alias("_low"), F.max("comp").alias("_high"),
-            F.min_by(F.struct("node", "comp"), F.xxhash64("node", F.lit(turn))).alias("hub"),
-        ).where("_low < _high")
-        mixed = stored(mixed.select("key", "hub"))
+            F.min("comp").alias("_low"), F.max("comp").alias("_high"), F.min_by(F.struct("node", "comp"), first).alias("hub")
+        )
+        mixed = stored(mixed.where("_low < _high").select("key", "hub"))
         if mixed.isEmpty():
             break
         open_rows = placed.join(mixed, "key")
-        if turn < HUB_ROUNDS:
+        if turn == 0:  # each node with one hub: most groups are whole after this
+            chosen = open_rows.where("node <> hub.node").groupBy("node")
+            pairs = chosen.agg(F.min_by("hub.node", F.xxhash64("hub.node", F.lit(turn))).alias("b")).withColumnRenamed("node", "a")
+        elif turn <= HUB_ROUNDS:  # each bucket with one hub, which then leaves it
             pairs = open_rows.where("comp <> hub.comp").select(
                 F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")
             )
@@ -213,9 +239,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
             other = open_rows.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
             pairs = open_rows.select("key", F.col("node").alias("a"), "comp").join(other, "key").where("a < b AND comp <> comp_b")
             pairs = pairs.select("a", "b")
-        links = _linked(pairs.distinct(), sets, similarity)
-        edges = stored(links if edges is None else edges.unionByName(links))
-        labels = components(edges)
+        labels = _joined(labels, settled(_linked(pairs.distinct(), sets, similarity)))
 
     if labels is None:
         grouped = nodes.select("set_a", "set_b", F.col("smallest").alias("component_id"))
