@@ -24,7 +24,7 @@ SIMILARITY = 80
 #: Three permutations, so six values, a band: at similarity 0.8 a pair shares some band but once in 200,000 times.
 BANDS = 40
 PER_BAND = 3
-HUB_ROUNDS = 4
+HUB_ROUNDS = 1
 
 _U = np.uint64
 _CHUNK = 1 << 15
@@ -145,30 +145,28 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """``(node, comp)`` of all nodes on ``edges(a, b)``; the component is its smallest node.
+    """``(node, comp)`` of all nodes on ``edges(a, b)``.
 
-    Large and small stars in turns: each round hangs neighbours on the smallest node they know of.
+    Each round every node moves to its smallest smaller neighbour, and on to where that one moved;
+    edges are kept between the places reached, until none is left.
     """
     now = stored(edges.select(F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        both = now.unionByName(now.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        least = stored(both.groupBy("a").agg(F.min("b").alias("m")).select("a", F.least("a", "m").alias("m")))
-        large = both.where("b > a").join(least, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b").distinct()
-        large = stored(large)
-        low = stored(large.groupBy("a").agg(F.min("b").alias("m")))
-        hung = large.join(low, "a").select(F.col("b").alias("a"), F.col("m").alias("b")).where("a <> b")
-        new = stored(hung.unionByName(low.select("a", F.col("m").alias("b"))).distinct())
-        if _fingerprint(new) == _fingerprint(now):
-            break
-        now = new
-    roots = new.select(F.col("b").alias("node")).distinct().join(new.select(F.col("a").alias("node")), "node", "left_anti")
-    return new.select(F.col("a").alias("node"), F.col("b").alias("comp")).unionByName(
-        roots.select("node", F.col("node").alias("comp"))
-    )
-
-
-def _fingerprint(edges: DataFrame) -> tuple:
-    return tuple(edges.agg(F.count("*"), F.sum(F.xxhash64("a", "b") % 1_000_000_007)).first())
+    labels = now.select(F.explode(F.array("a", "b")).alias("node")).distinct().withColumn("comp", F.col("node"))
+    while not now.isEmpty():
+        moves = stored(now.groupBy("a").agg(F.min("b").alias("to")))
+        for _ in range(2):
+            on = moves.select(F.col("a").alias("to"), F.col("to").alias("further"))
+            moves = stored(moves.join(on, "to", "left").select("a", F.coalesce("further", "to").alias("to")))
+        labels = stored(_moved(labels, moves, "comp"))
+        now = stored(_moved(_moved(now, moves, "a"), moves, "b").where("a <> b").select(
+            F.greatest("a", "b").alias("a"), F.least("a", "b").alias("b")).distinct())
+    return labels
+
+
+def _moved(rows: DataFrame, moves: DataFrame, column: str) -> DataFrame:
+    to = moves.select(F.col("a").alias(column), F.col("to").alias("_to"))
+    rest = [F.coalesce("_to", column).alias(column) if c == column else F.col(c) for c in rows.columns]
+    return rows.join(to, column, "left").select(*rest)
 
 
 def _placed(rows: DataFrame, labels: DataFrame | None) -> DataFrame:
