@@ -4,13 +4,14 @@ Each permutation gives two signature values, the smallest and the largest hash o
 a shingle set, so half the hash evaluations serve the same bands.  Texts
 with equal shingle sets are one node from the start.  In each band bucket all
 nodes are compared with one hub; only buckets whose nodes then still fall into
-several components are looked at again, with other hubs and at last pair by
-pair.  Every link is confirmed on the full shingle sets.
+several components are looked at again, with another hub and at last block by
+block.  Every link is confirmed on the full shingle sets.
 """
 
 from __future__ import annotations
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
@@ -25,6 +26,8 @@ SIMILARITY = 80
 BANDS = 40
 PER_BAND = 3
 HUB_ROUNDS = 1
+#: Nodes of a bucket that are compared with each other at a time.
+BLOCK = 256
 
 _U = np.uint64
 _CHUNK = 1 << 15
@@ -144,6 +147,47 @@ def _linked(pairs: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
     return both.withColumn("common", common).where(100 * F.col("common") >= similarity * of_all).select("a", "b")
 
 
+def _linked_in_blocks(members: DataFrame, sets: DataFrame, similarity: int) -> DataFrame:
+    """Links ``(a, b)`` that join different components of ``members(key, node, comp)``.
+
+    A bucket is split into blocks of about ``BLOCK`` nodes; each task compares two blocks of one bucket and
+    returns a link only if it joins what its earlier links have not, so the result stays linear.
+    """
+    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
+    placed = members.join(stored(sizes), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
+    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    placed = placed.select(
+        "key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
+    ).join(sets, "node")
+
+    def compare(rows: pd.DataFrame) -> pd.DataFrame:
+        nodes, comps, own = rows["node"].tolist(), rows["comp"].tolist(), rows["own"].tolist()
+        held = [frozenset(c) for c in rows["codes"]]
+        across = rows["i"].iat[0] != rows["j"].iat[0]
+        root: dict[int, int] = {}
+
+        def find(x):
+            while root.get(x, x) != x:
+                root[x] = x = root.get(root[x], root[x])
+            return x
+
+        found = []
+        order = sorted(range(len(nodes)), key=lambda k: len(held[k]))
+        for n, p in enumerate(order):
+            for q in order[n + 1 :]:
+                if 100 * len(held[p]) < similarity * len(held[q]):
+                    break
+                if across and own[p] == own[q] or find(comps[p]) == find(comps[q]):
+                    continue
+                common = len(held[p] & held[q])
+                if 100 * common >= similarity * (len(held[p]) + len(held[q]) - common):
+                    root[find(comps[p])] = find(comps[q])
+                    found.append((nodes[p], nodes[q]))
+        return pd.DataFrame(found, columns=["a", "b"], dtype="int64")
+
+    return placed.groupBy("key", "i", "j").applyInPandas(compare, "a long, b long")
+
+
 def components(edges: DataFrame) -> DataFrame:
     """``(node, comp)`` of all nodes on ``edges(a, b)``.
 
@@ -215,7 +259,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
     sets = settled(_sets(docs, nodes.select("node", "sample.*").join(involved, "node"), width))
 
     labels, left = None, members
-    for turn in range(HUB_ROUNDS + 2):
+    for turn in range(max(0, HUB_ROUNDS) + 2):
         placed = stored(_placed(left, labels))
         first = F.xxhash64("node", F.lit(turn))  # one order for all buckets, so that they tend to have the same hubs
         mixed = placed.groupBy("key").agg(
@@ -225,7 +269,7 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
         if mixed.isEmpty():
             break
         open_rows = placed.join(mixed, "key")
-        if turn == 0:  # each node with one hub: most groups are whole after this
+        if turn == 0 and HUB_ROUNDS >= 0:  # each node with one hub: most groups are whole after this
             chosen = open_rows.where("node <> hub.node").groupBy("node")
             pairs = chosen.agg(F.min_by("hub.node", F.xxhash64("hub.node", F.lit(turn))).alias("b")).withColumnRenamed("node", "a")
         elif turn <= HUB_ROUNDS:  # each bucket with one hub, which then leaves it
@@ -233,10 +277,9 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
                 F.least("node", "hub.node").alias("a"), F.greatest("node", "hub.node").alias("b")
             )
             left = open_rows.where("node <> hub.node").select("key", "node")
-        else:
-            other = open_rows.select("key", F.col("node").alias("b"), F.col("comp").alias("comp_b"))
-            pairs = open_rows.select("key", F.col("node").alias("a"), "comp").join(other, "key").where("a < b AND comp <> comp_b")
-            pairs = pairs.select("a", "b")
+        else:  # what is left is compared inside its bucket, in blocks, and only links come out
+            labels = _joined(labels, settled(_linked_in_blocks(open_rows.select("key", "node", "comp"), sets, similarity)))
+            break
         labels = _joined(labels, settled(_linked(pairs.distinct(), sets, similarity)))
 
     if labels is None:
