@@ -78,10 +78,14 @@ def test_byte_spans(docs, rows):
     assert op.drop_repeats(docs.limit(0)).count() == 0
 
 
-@pytest.mark.parametrize("width", [2, 5])
-def test_near_duplicates(docs, rows, width):
+@pytest.mark.parametrize("width,hubs", [(2, 1), (5, -1)])
+def test_near_duplicates(docs, rows, width, hubs, monkeypatch):
+    from emberlog.llm import minhash_dedup
     from emberlog.llm.minhash_dedup import near_duplicates
 
+    monkeypatch.setattr(minhash_dedup, "HUB_ROUNDS", hubs)  # -1: everything is compared in blocks
+    monkeypatch.setattr(minhash_dedup, "BLOCK", 3)
+
     sets = []
     for _, t in rows:
         w = (t or "").translate(_SMALL).encode().split()
