@@ -10,7 +10,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm import decontamination, minhash_dedup, sentencepiece_codec, substring_dedup, toxicity
-from emberlog.llm.common import attach, stored
+from emberlog.llm.common import stored
 from emberlog.llm.queries import PIECE_BPE
 
 #: SQL can't train classifiers or encode pieces; tests hold the stages against brute force.
@@ -33,11 +33,14 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
     """``docs`` with the texts of ``texts(doc_id, th, new)``, and their lengths."""
-    changed = attach(docs.withColumn("th", F.xxhash64(F.coalesce(F.col("text"), F.lit("")))), texts.hint("shuffle_hash"))
+    named = texts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("new").alias("_new"))
+    same_text = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == named["_th"]
+    changed = docs.join(named.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(named["_id"]) & same_text, "left")
+    new = F.col("_new")
     columns = [
-        F.coalesce("new", "text").alias("text") if c == "text"
-        else F.when(F.col("new").isNull(), F.col("n_chars")).otherwise(F.length("new").cast("long")).alias("n_chars") if c == "n_chars"
-        else F.col(c)
+        F.coalesce(new, docs[c]).alias(c) if c == "text"
+        else F.when(new.isNull(), docs[c]).otherwise(F.length(new).cast("long")).alias(c) if c == "n_chars"
+        else docs[c]
         for c in docs.columns
     ]
     return changed.select(*columns)
