@@ -188,3 +188,14 @@ def test_forest_round_trip(spark, outlier_points, tmp_path):
 def test_tree_depth_follows_the_paper():
     assert I.average_path(1) == 0 and I.average_path(2) == 1
     assert float(I.average_path(256)) == pytest.approx(10.2448, abs=1e-3)
+
+
+def test_stored_splits_are_the_ones_used():
+    """Between two adjacent doubles a drawn threshold can round up to the larger one."""
+    from emberlog.operators.forest import _grow
+
+    low = 1.0
+    sample = np.array([[low], [np.nextafter(low, 2.0)]])
+    for seed in range(50):
+        root = _grow(sample, 8, np.random.default_rng(seed))[0]
+        assert root[1] == 0 and root[2] == low
