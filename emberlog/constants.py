@@ -290,7 +290,6 @@ REVIEW_TITLE = "# Analyst incident review"
 REVIEW_NOTICE = (
     "AI is not configured. Use the standard summary and anomaly exports for a verified report."
 )
-REVIEW_FACTS_LIMIT = 6000
 REVIEW_FACTS_CAVEAT = (
     "Anomalies are not confirmed attacks. If ground-truth labels are supplied, "
     "they are used only for post-hoc evaluation."

@@ -7,6 +7,8 @@ from pyspark.sql import Column, DataFrame, functions as F
 from emberlog import constants as K
 from emberlog.functions.text import contains_text
 from emberlog.functions.timing import bin_seconds, floor_seconds
+from emberlog.operators.ordering import with_row_index
+from emberlog.session import store
 
 SEARCHED = ("message", "service", "event_id", "src_host", "target_user")
 SORTS = {
@@ -69,6 +71,14 @@ def sort_events(events: DataFrame, name: str, position: str = "row_idx") -> Data
     return events.orderBy(key, position)
 
 
+def with_position(events: DataFrame, name: str, position: str = "row_idx") -> DataFrame:
+    """All events with their 1-based ``position`` in a named order, found without one sorting task."""
+    column, ascending = SORTS[name]
+    key = F.col(column).asc() if ascending else F.col(column).desc()
+    placed = with_row_index(events, key, F.col(position), name="_place", keep=store)
+    return placed.withColumn("position", F.col("_place") + 1).drop("_place")
+
+
 def triage_queue(events: DataFrame, limit: int = 300, position: str = "row_idx") -> DataFrame:
     """Anomalies, highest risk first."""
     return sort_events(events.where(anomalous()), "Highest risk", position).limit(limit)

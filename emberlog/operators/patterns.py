@@ -9,7 +9,6 @@ from emberlog.functions.timing import window_start
 from emberlog.params import DEFAULTS, Params
 from emberlog.session import cut_lineage
 
-MIN_WINDOWS = 5
 JOINER = " + "
 
 
@@ -60,7 +59,7 @@ def _counted(found: DataFrame, keys: list[str], windows: Column, minimum: float)
     counts = found.groupBy(*keys).agg(F.count("*").alias("found"))
     return counts.select(
         F.array(*keys).alias("items"), "found", (F.col("found") / windows).alias("support")
-    ).where((F.col("support") >= minimum) & (windows >= MIN_WINDOWS))
+    ).where(F.col("support") >= minimum)
 
 
 def frequent_itemsets(items: DataFrame, params: Params = DEFAULTS) -> DataFrame:

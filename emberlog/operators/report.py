@@ -131,10 +131,9 @@ def review_facts(events: DataFrame, dataset: str) -> DataFrame:
 
 def incident_review(events: DataFrame, dataset: str) -> DataFrame:
     """One row ``report``: the local incident review around the facts."""
-    facts = F.substring("facts", 1, K.REVIEW_FACTS_LIMIT)
     text = F.concat(
         F.lit(f"{K.REVIEW_TITLE}\n\n{K.REVIEW_NOTICE}\n\n## Analysis facts\n"),
-        facts,
+        F.col("facts"),
         F.lit(f"\n\n## Analyst caveat\n{K.REVIEW_CAVEAT}"),
     )
     return review_facts(events, dataset).select(text.alias("report"))

@@ -399,13 +399,13 @@ def _dict_sql(column: str, limit: str) -> str:
 @query(
     "incident_review",
     from_events(
-        f"""SELECT {q(K.REVIEW_TITLE)} || chr(10) || chr(10) || {q(K.REVIEW_NOTICE)} || chr(10) || chr(10) || '## Analysis facts' || chr(10) || substr(
+        f"""SELECT {q(K.REVIEW_TITLE)} || chr(10) || chr(10) || {q(K.REVIEW_NOTICE)} || chr(10) || chr(10) || '## Analysis facts' || chr(10) || (
         'Dataset: messages.log' || chr(10) || 'Events: ' || format('{{:,}}', total) || chr(10) || 'Anomalies: ' || format('{{:,}}', anomalies) || ' (' || rate || '%)' || chr(10)
         || 'High-risk anomalies: ' || format('{{:,}}', high_risk) || chr(10) || 'Severity counts: {{' || {_dict_sql('severity', '')} || '}}' || chr(10)
         || 'Top anomalous services: {{' || {_dict_sql('service', ' LIMIT 10')} || '}}' || chr(10) || 'Top event classes: {{' || {_dict_sql('event_class', ' LIMIT 10')} || '}}' || chr(10)
         || 'Highest-risk event summaries: [' || (SELECT string_agg('{{''event_class'': ''' || event_class || ''', ''service'': ''' || service || ''', ''severity'': ''' || severity
           || ''', ''risk_score'': ' || CAST(round(CAST(risk_score AS DECIMAL(12, 3)), 2) AS DOUBLE) || '}}', ', ' ORDER BY risk_score DESC, row_idx)
-          FROM (SELECT * FROM ev WHERE status = 'ANOMALY' ORDER BY risk_score DESC, row_idx LIMIT 10)) || ']' || chr(10) || {q(K.REVIEW_FACTS_CAVEAT)}, 1, 6000)
+          FROM (SELECT * FROM ev WHERE status = 'ANOMALY' ORDER BY risk_score DESC, row_idx LIMIT 10)) || ']' || chr(10) || {q(K.REVIEW_FACTS_CAVEAT)})
         || chr(10) || chr(10) || '## Analyst caveat' || chr(10) || {q(K.REVIEW_CAVEAT)} AS report FROM kpi""",
         _KPI,
     ),

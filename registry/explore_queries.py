@@ -80,9 +80,13 @@ def event_by_id(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 # ------------------------------------------------------------ sorts, top-k
 def _sort_query(name: str, choice: str, order: str):
-    @query(name, from_events(f"SELECT event_id, risk_score FROM ev ORDER BY {order}, row_idx LIMIT 200"))
+    @query(
+        name,
+        from_events(f"SELECT event_id, risk_score, row_number() OVER (ORDER BY {order}, row_idx) AS position FROM ev"),
+    )
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        return explore.sort_events(scored_table(spark, sf_dir), choice).limit(200).select("event_id", "risk_score")
+        placed = explore.with_position(scored_table(spark, sf_dir), choice)
+        return placed.select("event_id", "risk_score", "position")
 
     return run
 
