@@ -55,10 +55,12 @@ def test_intervals_match_a_scan(spark, minutes):
         assert got[DAY + timedelta(microseconds=int(m))] == want
 
 
-def test_item_sets_need_five_windows(spark):
-    rows = [(DAY + timedelta(minutes=5 * i), "sshd", "INFO", "NORMAL") for i in range(4)]
+@pytest.mark.parametrize("count", [1, 4, 5])
+def test_item_sets_of_few_windows(spark, count):
+    rows = [(DAY + timedelta(minutes=5 * i), "sshd", "INFO", "NORMAL") for i in range(count)]
     events = spark.createDataFrame(rows, "timestamp timestamp, service string, event_class string, status string")
-    assert patterns.frequent_itemsets(patterns.window_items(events)).count() == 0
+    sets = {tuple(r["items"]): r["found"] for r in patterns.frequent_itemsets(patterns.window_items(events)).collect()}
+    assert sets == {("evt=INFO",): count, ("svc=sshd",): count, ("evt=INFO", "svc=sshd"): count}
 
 
 def test_rules_have_all_splits(spark):
