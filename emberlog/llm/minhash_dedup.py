@@ -151,11 +151,18 @@ def _linked_in_blocks(members: DataFrame, sets: DataFrame, similarity: int) -> D
     """Links ``(a, b)`` that join different components of ``members(key, node, comp)``.
 
     A bucket is split into blocks of about ``BLOCK`` nodes; each task compares two blocks of one bucket and
-    returns a link only if it joins what its earlier links have not, so the result stays linear.
+    returns a link only if it joins what its earlier links have not, so the result stays linear.  Nodes of a
+    bucket's largest component need no comparison with each other: they have blocks of their own, which meet
+    only the blocks of the other nodes.
     """
-    sizes = members.groupBy("key").agg(F.ceil(F.count("*") / BLOCK).cast("int").alias("blocks"))
-    placed = members.join(stored(sizes), "key").withColumn("own", F.pmod(F.xxhash64("node"), F.col("blocks")).cast("int"))
-    placed = placed.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
+    counts = members.groupBy("key", "comp").agg(F.count("*").alias("n")).groupBy("key")
+    sizes = counts.agg(F.max_by("comp", F.struct("n", "comp")).alias("largest"), F.max("n").alias("n"), F.sum("n").alias("all"))
+    blocks = [F.ceil(F.col("n") / BLOCK).alias("inner"), F.ceil((F.col("all") - F.col("n")) / BLOCK).alias("outer")]
+    placed = members.join(stored(sizes.select("key", "largest", *blocks)), "key")
+    inside, spread = F.col("comp") == F.col("largest"), F.xxhash64("node")
+    own = F.when(inside, F.col("outer") + F.pmod(spread, F.col("inner"))).otherwise(F.pmod(spread, F.col("outer")))
+    last = F.when(inside, F.col("outer")).otherwise(F.col("outer") + F.col("inner")) - 1
+    placed = placed.withColumn("own", own).withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), last)))
     placed = placed.select(
         "key", "node", "comp", "own", F.least("own", "other").alias("i"), F.greatest("own", "other").alias("j")
     ).join(sets, "node")
