@@ -123,7 +123,6 @@ TEMPLATE_RULES = (
     (r"0x[0-9a-fA-F]+", "HEX"),
     (r"\d+", "N"),
 )
-TEMPLATE_LENGTH = 80
 
 # --- fixed values: ground-truth spellings ------------------------------------
 POSITIVE_LABELS = ("1", "true", "anomaly", "anomalous", "abnormal")

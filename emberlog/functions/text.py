@@ -116,11 +116,11 @@ def target_user(message) -> Column:
 
 
 def message_template(message) -> Column:
-    """Wording with its variable parts replaced, cut to the template length."""
+    """The whole wording with its variable parts replaced."""
     text = _as_column(message)
     for pattern, by in K.TEMPLATE_RULES:
         text = _replace(text, pattern, by)
-    return F.substring(text, 1, K.TEMPLATE_LENGTH)
+    return text
 
 
 def token_count(message) -> Column:

@@ -12,8 +12,8 @@ from emberlog.session import cut_lineage
 JOINER = " + "
 
 
-def source_activity(events: DataFrame, limit: int | None = 25) -> DataFrame:
-    """Sources with the most authentication failures."""
+def source_activity(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Activity of every source with authentication failures; with ``limit``, of those with the most."""
     failing = events.where((F.col("event_class") == "AUTH_FAIL") & F.col("src_host").isNotNull())
     table = failing.groupBy("src_host").agg(
         F.count("*").alias("failures"),
@@ -28,13 +28,13 @@ def source_activity(events: DataFrame, limit: int | None = 25) -> DataFrame:
     return table.orderBy(F.col("failures").desc(), "src_host").limit(limit)
 
 
-def template_activity(events: DataFrame, limit: int | None = 25) -> DataFrame:
-    """Most repeated message patterns with the earliest message as example."""
+def template_activity(events: DataFrame, limit: int | None = None) -> DataFrame:
+    """Every message pattern with the earliest message as example; with ``limit``, the most repeated ones."""
     table = events.groupBy("template").agg(
         F.count("*").alias("events"),
         F.countDistinct("service").alias("services"),
         F.count_if(F.col("status") == "ANOMALY").alias("anomalous"),
-        F.substring(F.min_by("message", F.struct("timestamp", "line_no")), 1, 120).alias("example"),
+        F.min_by("message", F.struct("timestamp", "line_no")).alias("example"),
     )
     if limit is None:
         return table

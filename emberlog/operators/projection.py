@@ -6,9 +6,7 @@ import numpy as np
 from pyspark.sql import DataFrame, functions as F
 
 from emberlog.operators.features import FEATURES
-from emberlog.params import DEFAULTS, Params
 
-MAX_POINTS = 4000
 
 
 def feature_importance(points: DataFrame) -> DataFrame:
@@ -74,12 +72,8 @@ def principal_axes(points: DataFrame) -> tuple[np.ndarray, np.ndarray, float]:
     return np.array([mean[c] for c in FEATURES]), best * signs[:, None], share
 
 
-def projection(points: DataFrame, events: DataFrame, key: list[str], params: Params = DEFAULTS) -> DataFrame:
-    """Up to 4000 sampled events in the plane of the first two principal axes.
-
-    The sample takes the smallest seeded hashes, at most a third of it noise,
-    so it is the same on every run; the axes come from all rows.
-    """
+def projection(points: DataFrame, events: DataFrame, key: list[str]) -> DataFrame:
+    """Every event in the plane of the first two principal axes; each distinct vector is placed once."""
     mean, axes, share = principal_axes(points)
     coordinates = []
     for axis, name in zip(axes, ("x", "y")):
@@ -88,15 +82,11 @@ def projection(points: DataFrame, events: DataFrame, key: list[str], params: Par
             total = total + (F.col(column) - F.lit(float(centre))) * F.lit(float(weight))
         coordinates.append(total.alias(name))
     placed = points.select(*key, *coordinates)
-    rank = F.xxhash64(F.lit(params.seed), "event_id")
     slim = events.select(*key, "event_id", "dbscan_noise", "dbscan_cluster", "service")
-    noise = slim.where("dbscan_noise").orderBy(rank, "event_id").limit(MAX_POINTS // 3)
-    used = noise.count()
-    other = slim.where("NOT dbscan_noise").orderBy(rank, "event_id").limit(MAX_POINTS - used)
     label = F.when(F.col("dbscan_noise"), F.lit("Noise (anomalous)")).otherwise(
         F.concat(F.lit("Cluster "), F.col("dbscan_cluster").cast("string"))
     )
-    return noise.unionByName(other).join(placed, key).select(
+    return slim.join(placed, key).select(
         "event_id", "x", "y", F.col("dbscan_noise").alias("is_noise"), label.alias("cluster"),
         "service", "event_class", F.lit(share).alias("explained"),
     )

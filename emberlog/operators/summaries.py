@@ -67,15 +67,17 @@ def redacted_evidence(items: str = "evidence") -> Column:
 
 
 def event_facts() -> Column:
-    """Facts without identifiers or raw text."""
+    """Facts without identifiers or raw text; what is missing is called unknown."""
+    text = lambda c: _or(F.col(c), "unknown")
+    shown_time = F.coalesce(F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss"), F.lit("unknown"))
     return F.concat_ws(
         "\n",
-        fill("Event ID: {v}", v=F.col("event_id")),
-        fill("Timestamp: {v}", v=F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss")),
-        fill("Service: {v}", v=F.col("service")),
-        fill("Event class: {v}", v=F.col("event_class")),
-        fill("Severity: {v}", v=F.col("severity")),
-        fill("Risk score: {v}/1.00", v=two_places(F.col("risk_score"))),
+        fill("Event ID: {v}", v=text("event_id")),
+        fill("Timestamp: {v}", v=shown_time),
+        fill("Service: {v}", v=text("service")),
+        fill("Event class: {v}", v=text("event_class")),
+        fill("Severity: {v}", v=text("severity")),
+        fill("Risk score: {v}/1.00", v=F.coalesce(two_places(F.col("risk_score")), F.lit("unknown"))),
         F.lit(K.FACTS_WITHHELD),
     )
 
@@ -88,10 +90,10 @@ def event_summary() -> Column:
     """The full analyst note of an event."""
     c = F.col
     shown_evidence = relevant_evidence()
-    shown_evidence = F.when(F.size(shown_evidence) > 0, F.slice(shown_evidence, 1, 4)).otherwise(
+    shown_evidence = F.when(F.size(shown_evidence) > 0, shown_evidence).otherwise(
         F.array(F.lit(K.EVIDENCE_FALLBACK))
     )
-    shown_actions = F.when(F.size("actions") > 0, F.slice("actions", 1, 4)).otherwise(
+    shown_actions = F.when(F.size("actions") > 0, F.col("actions")).otherwise(
         F.array(F.lit(K.ACTION_FALLBACK))
     )
     details = signal_details()

@@ -8,10 +8,10 @@ from emberlog import constants as K
 from emberlog.sources.text_logs import REPLACEMENT, require_rows, resolve_timestamps
 
 
-def read_csv_rows(spark: SparkSession, path, multi_line: bool = True) -> DataFrame:
+def read_csv_rows(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """Every column as text, cells that mean "no value" as null.
 
-    ``multi_line=False`` lets Spark split large files.
+    Large files are split; ``multi_line=True`` reads line breaks inside cells, one task a file.
     """
     rows = (
         spark.read.option("header", True)
@@ -62,7 +62,7 @@ def canonicalise(rows: DataFrame) -> DataFrame:
     return rows.select(*columns)
 
 
-def csv_to_logs(rows: DataFrame, mode: str = "reference", assume_year: int = 1900) -> DataFrame:
+def csv_to_logs(rows: DataFrame, mode: str = "per_row", assume_year: int = 1900) -> DataFrame:
     resolved = resolve_timestamps(canonicalise(rows), mode, assume_year)
     return resolved.where(F.col("timestamp").isNotNull()).drop("time_text")
 
@@ -70,9 +70,9 @@ def csv_to_logs(rows: DataFrame, mode: str = "reference", assume_year: int = 190
 def read_csv_logs(
     spark: SparkSession,
     path,
-    mode: str = "reference",
+    mode: str = "per_row",
     assume_year: int = 1900,
-    multi_line: bool = True,
+    multi_line: bool = False,
     strict: bool = False,
 ) -> DataFrame:
     """CSV exports -> canonical log rows."""

@@ -85,7 +85,7 @@ def flexible_time(text: Column) -> Column:
     return F.coalesce(iso, *[F.try_to_timestamp(dated, F.lit(f)) for f in OTHER_TIME_FORMATS])
 
 
-def resolve_timestamps(rows: DataFrame, mode: str = "reference", assume_year: int = 1900) -> DataFrame:
+def resolve_timestamps(rows: DataFrame, mode: str = "per_row", assume_year: int = 1900) -> DataFrame:
     """Turn ``time_text`` into ``timestamp``.
 
     ``reference``  the yearless format, unless more than half of the rows fail
@@ -155,7 +155,7 @@ def source_size_kb(spark: SparkSession, path) -> DataFrame:
 
 
 def read_text_logs(
-    spark: SparkSession, path, mode: str = "reference", assume_year: int = 1900, strict: bool = False
+    spark: SparkSession, path, mode: str = "per_row", assume_year: int = 1900, strict: bool = False
 ) -> DataFrame:
     """Files or folders of syslog text -> canonical log rows."""
     rows = resolve_timestamps(parse_lines(read_text_lines(spark, path)), mode, assume_year)

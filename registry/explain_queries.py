@@ -251,9 +251,9 @@ _NUMBERS = f"array_to_string(list_transform({{}}, lambda x, i: i || '. ' || x),
         || '` | service `' || service || '` | `' || event_class || '`' || {_N} || {_N} || '**Priority:** ' || {_PRIORITY} || ' (' || severity || ') | Risk score: '
         || {_score2('risk_score')} || '/1.00' || {_N} || {_N}
         || CASE WHEN len(details) > 0 THEN '**Relevant detection signals:**' || {_N} || {_BULLETS.format('details')} || {_N} || {_N} ELSE '' END
-        || '**Why it was flagged:**' || {_N} || {_BULLETS.format('relevant[1:4]')} || {_N} || {_N} || '**Assessment:** '
+        || '**Why it was flagged:**' || {_N} || {_BULLETS.format('relevant')} || {_N} || {_N} || '**Assessment:** '
         || CASE WHEN event_class = 'AUTH_FAIL' THEN {q(K.ASSESSMENT_AUTH)} ELSE {q(K.ASSESSMENT_OTHER)} END || ' ' || {q(K.SUMMARY_CAVEAT)} || {_N} || {_N}
-        || '**Recommended analyst actions:**' || {_N} || {_NUMBERS.format('actions[1:4]')} || {_N} || {_N} || {q(K.SUMMARY_ESCALATION)} AS summary
+        || '**Recommended analyst actions:**' || {_N} || {_NUMBERS.format('actions')} || {_N} || {_N} || {q(K.SUMMARY_ESCALATION)} AS summary
         FROM exp WHERE status = 'ANOMALY'"""
     ),
 )

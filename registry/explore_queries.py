@@ -218,7 +218,7 @@ def densest_alert(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""SELECT src_host, count(*) AS failures, count(DISTINCT target_user) AS target_accounts,
         count_if(status = 'ANOMALY') AS flagged, max(burst) AS peak_burst, {sql_time('min(event_time)', 'first_seen')},
         {sql_time('max(event_time)', 'last_seen')} FROM ev WHERE event_class = 'AUTH_FAIL' AND src_host IS NOT NULL
-        GROUP BY src_host ORDER BY failures DESC, src_host LIMIT 25"""
+        GROUP BY src_host"""
     ),
 )
 def source_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -236,14 +236,14 @@ def source_activity(spark: SparkSession, sf_dir: str) -> DataFrame:
 def failing_sources(spark: SparkSession, sf_dir: str) -> DataFrame:
     """All failing sources straight from the logs, before any detection."""
     rows = frequency_table(spark, sf_dir).withColumn("status", F.lit("NORMAL"))
-    return patterns.source_activity(rows, limit=None).drop("flagged", "first_seen", "last_seen")
+    return patterns.source_activity(rows).drop("flagged", "first_seen", "last_seen")
 
 
 @query(
     "template_activity",
     from_events(
         """SELECT template, count(*) AS events, count(DISTINCT service) AS services, count_if(status = 'ANOMALY') AS anomalous,
-        substr(arg_min(message, row_idx), 1, 120) AS example FROM ev GROUP BY template ORDER BY events DESC, template LIMIT 25"""
+        arg_min(message, row_idx) AS example FROM ev GROUP BY template"""
     ),
 )
 def template_activity(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -47,9 +47,9 @@ def clean_ctes(source: str = "logs", raw: str = "''", prefix: str = "") -> str:
            NULLIF(regexp_extract(message, '\\b(?:for user|for invalid user|for)\\s+([a-zA-Z0-9_.-]+)', 1), '')) AS target_user,
   hour(event_time) AS hour,
   length(message) AS message_length,
-  substr(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message,
+  regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(regexp_replace(message,
     'rhost=\\S+', 'rhost=H', 'g'), 'user=\\S+', 'user=U', 'g'), 'for user \\S+', 'for user U', 'g'),
-    '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}\\b', 'IP', 'g'), '0x[0-9a-fA-F]+', 'HEX', 'g'), '\\d+', 'N', 'g'), 1, 80) AS template,
+    '\\b\\d{{1,3}}(?:\\.\\d{{1,3}}){{3}}\\b', 'IP', 'g'), '0x[0-9a-fA-F]+', 'HEX', 'g'), '\\d+', 'N', 'g') AS template,
   epoch_us(event_time) // 300000000 AS win
   FROM {p}c2)"""
 

@@ -6,7 +6,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from emberlog.operators import alerts, evaluate, explore, patterns
+from emberlog.operators import alerts, evaluate, explore, patterns, summaries
 from emberlog.params import DEFAULTS
 
 DAY = datetime(2026, 1, 1)
@@ -133,3 +133,23 @@ def test_sorts_are_stable(spark):
     events = spark.createDataFrame(rows, "timestamp timestamp, risk_score double, row_idx long").withColumn("status", F.lit("ANOMALY"))
     for name, want in {"Newest first": [0, 1, 2], "Oldest first": [0, 1, 2], "Highest risk": [0, 1, 2], "Lowest risk": [1, 2, 0]}.items():
         assert [r["row_idx"] for r in explore.sort_events(events, name).collect()] == want
+
+
+def test_activity_tables_are_whole(spark):
+    rows = spark.range(60).select(
+        F.concat(F.lit("host"), "id").alias("src_host"), F.lit("AUTH_FAIL").alias("event_class"), F.lit("root").alias("target_user"),
+        F.lit("NORMAL").alias("status"), F.lit(1).alias("burst"), F.timestamp_seconds("id").alias("timestamp"), F.col("id").alias("line_no"),
+        F.concat(F.lit("wording "), "id").alias("template"), F.repeat(F.lit("m"), 500).alias("message"), F.lit("sshd").alias("service"),
+    )
+    assert patterns.source_activity(rows).count() == 60
+    assert patterns.source_activity(rows, limit=3).count() == 3
+    assert patterns.template_activity(rows).where("length(example) = 500").count() == 60
+
+
+def test_missing_facts_are_called_unknown(spark):
+    row = spark.sql(
+        "SELECT 'e1' AS event_id, CAST(NULL AS TIMESTAMP) AS timestamp, CAST(NULL AS STRING) AS service, 'OTHER' AS event_class,"
+        " 'LOW' AS severity, CAST(NULL AS DOUBLE) AS risk_score"
+    )
+    facts = row.select(summaries.event_facts()).first()[0]
+    assert "Timestamp: unknown\nService: unknown\nEvent class: OTHER" in facts and "Risk score: unknown/1.00" in facts

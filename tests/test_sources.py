@@ -94,7 +94,7 @@ def test_csv_aliases_quotes_and_defaults(spark, tmp_path):
         "x,03/02/2024 11:00:00,plain,NA,0\n"
         "x,not a time,dropped,,0\n"
     )
-    got = [tuple(r) for r in csv_logs.read_csv_logs(spark, str(path)).orderBy("timestamp").select(
+    got = [tuple(r) for r in csv_logs.read_csv_logs(spark, str(path), multi_line=True).orderBy("timestamp").select(
         F.date_format("timestamp", "yyyy-MM-dd HH:mm"), "hostname", "service", "message", "raw_event_type", "label"
     ).collect()]
     assert got == [
