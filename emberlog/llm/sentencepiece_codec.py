@@ -27,6 +27,7 @@ from pyspark.sql.types import ArrayType, IntegerType, StringType, StructField, S
 from emberlog.llm.common import small_batches
 
 SPACE = "▁"
+_LETTER = r"[^\W\d_]"
 _CACHED_PARTS = 300_000
 _CACHED_LENGTH = 48
 _CACHED_PAIRS = 1_000_000
@@ -79,12 +80,16 @@ class PrefixTable:
         """Parts that never share a piece, so that more of them are alike.
 
         A text may be cut around characters without piece, before runs of spaces,
-        and between a letter and punctuation that no piece holds after a letter.
+        and between a letter and punctuation that no piece holds after a letter.  ``_LETTER``
+        matches numerals like a raised two as well; those that a piece joins to punctuation end no word.
         """
         alone = "".join(c for c in "\n\t" if not any(c in p for p in self.rank))
-        behind = {b for p in self.rank for a, b in zip(p, p[1:]) if a.isalpha()}
-        tail = re.escape("".join(c for c in ".,;:!?|&*%#$" if c not in behind))
-        end_of_word = f"{SPACE}*[^\\W\\d_]+(?=[{tail}])|" if tail else ""
+        behind = {(a, b) for p in self.rank for a, b in zip(p, p[1:]) if re.match(_LETTER, a)}
+        after_letters = {b for a, b in behind if a.isalpha()}
+        marks = "".join(c for c in ".,;:!?|&*%#$" if c not in after_letters)
+        joined = re.escape("".join(sorted({a for a, b in behind if b in marks})))
+        last = f"(?<![{joined}])" if joined else ""
+        end_of_word = f"{SPACE}*{_LETTER}+{last}(?=[{re.escape(marks)}])|" if marks else ""
         single = f"[{alone}]|" if alone else ""
         return re.compile(f"{end_of_word}{SPACE}+[^{SPACE}{alone}]*|{single}[^{SPACE}{alone}]+")
 

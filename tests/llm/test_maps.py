@@ -65,6 +65,21 @@ def test_pieces_match_the_library_and_come_back(spark, texts, small_dir):
     assert "score" in codec.encode(texts, queries.PIECE_BPE).columns
 
 
+def test_texts_of_every_piece_match_the_library():
+    import sentencepiece
+
+    from emberlog.llm import queries
+    from emberlog.llm.sentencepiece_codec import SPACE, PrefixTable
+
+    library = sentencepiece.SentencePieceProcessor(model_file=queries.PIECE_BPE)
+    table = PrefixTable(queries.PIECE_BPE)
+    pieces = [p.replace(SPACE, " ") for p in table.rank]
+    assert "²." in pieces
+    made = [t for p in pieces for t in (p, f"an area of 12 km{p}. Next", f"{p}{p},.")]
+    wrong = [t for t in made if memoryview(table.encode(t)).cast("i").tolist() != library.encode(t)]
+    assert not wrong
+
+
 def test_decode_of_wrong_bytes():
     import numpy as np
 
