@@ -115,6 +115,17 @@ def test_classifiers_on_empty_and_one_sided_labels(spark, texts):
         assert toxicity.toxicity(texts, toxicity.train(texts, labels)).count() == len(TEXTS)
 
 
+def test_share_of_capitals_is_of_the_whole_text():
+    from emberlog.llm import toxicity
+
+    text = "Some WORDS of a tÉxt, Ǆ and ǅ. " * 65
+    for t in (text[:1999], text[:1999] * 2, "a" * 3999 + "B", "aB" * 50_000, "É" + "\ud800" * 2, ""):
+        measured = toxicity._plain([t])[0, 1]
+        assert measured == pytest.approx(sum(map(str.isupper, t)) / max(1, len(t)))
+    once, twice = toxicity._plain([text[:1999], text[:1999] * 2])[:, 1]
+    assert once == pytest.approx(twice)
+
+
 PAGES = [
     (1, "http://h/a/1", "<html><head><title>T</title></head><body><nav>menu</nav><article><h1>Big&amp;</h1><p>one\n two<b>x</b><p>three<br>4"
         "<div class='comments'>hi</div><aside>no</aside></article><footer>f</footer>", "Big& one twox three 4"),
