@@ -25,10 +25,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document of each group stays: the one with the smallest id."""
-    verdicts = minhash_dedup.near_duplicates(docs)
-    gone = stored(verdicts.where("NOT kept").select(F.col("doc_id").alias("_id")).distinct())
-    return docs.join(gone, docs["doc_id"].eqNullSafe(gone["_id"]), "left_anti")
+    """One document of each group stays: the smallest id, then the smallest hash of the text, then the smallest row.
+
+    Documents without words are in no group and all stay.
+    """
+    verdicts = minhash_dedup.near_duplicates(docs, with_key=True)
+    alike = verdicts.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
+        F.bool_and("chosen").alias("chosen"), ((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("_again")
+    )
+    marks = stored(alike.where("NOT chosen OR _again"))
+    found = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
+    this = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
+    once = found.join(marks, this, "left_anti").select(*docs.columns)
+    again = found.join(marks.where("chosen"), this, "left_semi")  # rows alike in id and text, of which one stays
+    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
+    first = again.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_row")) if rest else again.distinct()
+    return once.unionByName(first.select(*[F.col(f"_row.{c}").alias(c) if c in rest else c for c in docs.columns]))
 
 
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:

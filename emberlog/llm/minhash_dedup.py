@@ -243,20 +243,25 @@ def _joined(labels: DataFrame | None, links: DataFrame) -> DataFrame | None:
     return stored(old.unionByName(moved.join(labels, "node", "left_anti")))
 
 
-def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY) -> DataFrame:
+def near_duplicates(
+    docs: DataFrame, width: int = SHINGLE, similarity: int = SIMILARITY, with_key: bool = False
+) -> DataFrame:
     """``(doc_id, n_shingles, component_id, kept)`` of every row of ``docs(doc_id, text, ...)``.
 
     Null and empty texts, and texts without words, have no shingles, are linked with nothing and
     kept.  A null ``doc_id`` is larger than all others and stands for itself (a component of
     null ids has the id null and keeps all of them).  Repeated rows fall into one component;
     those that carry its id are all kept.  Other columns are ignored; an empty table gives no row.
+
+    ``with_key`` adds ``th``, the hash of the text, and ``chosen``: whether ``(doc_id, th)`` is the one of its
+    component that stands for all, which is the smallest id, of equal ids the smallest hash.
     """
     signed = settled(signatures(docs, width))
-    order = F.coalesce(F.col("doc_id"), F.lit(_LAST))
+    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("order"), F.col("doc_id").isNull().alias("no_id"), "th")
     nodes = stored(
         signed.where("n > 0")
         .groupBy("set_a", "set_b")
-        .agg(F.min(order).alias("smallest"), F.min(F.struct("doc_id", "th")).alias("sample"), F.any_value("bands").alias("bands"))
+        .agg(F.min(place).alias("smallest"), F.min(F.struct("doc_id", "th")).alias("sample"), F.any_value("bands").alias("bands"))
         .withColumn("node", F.monotonically_increasing_id())
     )
     spread = nodes.select("node", F.explode("bands").alias("key"))
@@ -290,18 +295,19 @@ def near_duplicates(docs: DataFrame, width: int = SHINGLE, similarity: int = SIM
         labels = _joined(labels, settled(_linked(pairs.distinct(), sets, similarity)))
 
     if labels is None:
-        grouped = nodes.select("set_a", "set_b", F.col("smallest").alias("component_id"))
+        grouped = nodes.select("set_a", "set_b", F.col("smallest").alias("first"))
     else:
         placed = nodes.select("node", "set_a", "set_b", "smallest").join(labels, "node", "left")
         placed = stored(placed.withColumn("comp", F.coalesce("comp", "node")))
-        lowest = stored(placed.groupBy("comp").agg(F.min("smallest").alias("component_id")))
-        grouped = placed.join(lowest, "comp").select("set_a", "set_b", "component_id")
-    rows = signed.select("doc_id", "n", "set_a", "set_b")
+        lowest = stored(placed.groupBy("comp").agg(F.min("smallest").alias("first")))
+        grouped = placed.join(lowest, "comp").select("set_a", "set_b", "first")
+    rows = signed.select("doc_id", "th", "n", "set_a", "set_b")
     known = stored(grouped).withColumnsRenamed({"set_a": "_a", "set_b": "_b"})
     full = rows.join(known, (F.col("n") > 0) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")), "left")
-    component = F.when(F.col("component_id").isNull(), F.col("doc_id")).when(
-        F.col("component_id") < _LAST, F.col("component_id")
-    )
-    return full.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id")).withColumn(
+    lowest_id = F.col("first.order")
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).when(lowest_id < _LAST, lowest_id)
+    chosen = F.col("first").isNull() | (F.col("first") == place)
+    more = ["th", chosen.alias("chosen")] if with_key else []
+    return full.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *more).withColumn(
         "kept", F.col("doc_id").eqNullSafe(F.col("component_id"))
     )

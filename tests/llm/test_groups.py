@@ -167,3 +167,22 @@ def test_pipeline_stages(spark, docs, small_dir):
         assert out.where("doc_id >= 9001").count() == 2, name
         assert out.join(table, "doc_id", "left_anti").count() == 0, name
     assert pipeline.STAGES[-1][1](spark, table, small_dir).count() == table.count()
+
+
+def test_one_document_of_each_group_stays(spark, small_dir):
+    import corpus_pipeline as pipeline
+
+    base = [f"{n} alpha beta gamma delta epsilon zeta eta theta iota {n}" for n in range(6)]
+    made = [
+        (1, base[0], "a"), (None, base[0], "a"),  # a null id that copies another document
+        (None, base[1], "a"), (None, base[2], "a"), (None, base[2], "a"),  # null ids by themselves, one of them twice
+        (2, base[3], "b"), (2, base[3], "a"), (2, base[3], "a"), (7, base[3], "a"),  # repeated rows
+        (5, base[4], "a"), (5, base[0], "a"), (6, base[4], "a"),  # one id with two texts, one of them a copy
+        (5, base[5], None),
+        (8, None, "a"), (8, "", "a"), (8, "", "a"), (None, " ", "a"), (None, None, "a"),  # in no group
+    ]
+    table = spark.createDataFrame(made, "doc_id long, text string, source string")
+    want = [made[k] for k in (0, 2, 3, 6, 9, 12, 13, 14, 15, 16, 17)]
+    _same(pipeline.drop_near_duplicates(spark, table, small_dir), want)
+    _same(pipeline.drop_near_duplicates(spark, table.drop("source"), small_dir), [w[:2] for w in want])
+    assert pipeline.drop_near_duplicates(spark, table.limit(0), small_dir).count() == 0
