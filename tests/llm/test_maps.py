@@ -145,6 +145,23 @@ def test_main_text(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+@pytest.mark.parametrize(
+    "attributes,marked",
+    [
+        (' style="overflow:hidden"', False), (" style='x; hidden'", False), (' href="/hidden-gems"', False),
+        (" href=/hidden", False), (' alt="a hidden path"', False), (' data-id="search"', False), (' data-class="ad"', False),
+        (' title="class=ad id=nav"', False), (' data-hidden aria-hidden="false"', False), (' class="text" class="ad"', False),
+        (" hidden", True), (" HIDDEN=''", True), (' style="a"hidden', True), (' aria-hidden = "TRUE"', True),
+        (' title="x" class="a navBar-item nav"', True), (" id=search", True), (" role='navigation'/", True),
+    ],
+)
+def test_only_whole_attributes_mark_an_element(attributes, marked):
+    from emberlog.llm.html_text import lines_of
+
+    texts, _ = lines_of(f"<article><p>one</p><div{attributes}>two</div></article>")
+    assert texts == (["one"] if marked else ["one", "two"])
+
+
 def test_shared_lines_are_a_longest_common_subsequence():
     from emberlog.llm.html_text import shared_with
 
