@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from pyspark.ml.classification import DecisionTreeClassifier
-from pyspark.ml.feature import VectorAssembler
+from pyspark.ml.feature import StringIndexer, VectorAssembler
 from pyspark.ml.functions import vector_to_array
 from pyspark.sql import DataFrame, functions as F
 
@@ -104,10 +104,9 @@ NUMERIC_TREE = (
     "hour", "message_length", "token_count", "digit_ratio",
     "log_template_freq", "log_service_freq", "log_burst",
 )
-TOP_SERVICES = 12
 
 
-def top_services(rows: DataFrame, limit: int = TOP_SERVICES) -> list[str]:
+def top_services(rows: DataFrame, limit: int) -> list[str]:
     """The most frequent services (a bounded list used as column names)."""
     counted = rows.groupBy("service").agg(F.count("*").alias("n"))
     return [r["service"] for r in counted.orderBy(F.col("n").desc(), "service").limit(limit).collect()]
@@ -139,10 +138,17 @@ def _balanced(train: DataFrame, truth: str) -> DataFrame:
 
 
 def _fit_and_score(train: DataFrame, test: DataFrame, truth: str, columns, params: Params) -> DataFrame:
+    """Scores of ``test``; all services of ``train`` are one category column, unseen ones its last value."""
+    indexer = StringIndexer(inputCol="service", outputCol="service_index", handleInvalid="keep").fit(train)
+    values = len(indexer.labels) + 1
+    if values <= train.count():  # else every row has a service of its own, of which Spark makes no category
+        columns = [*columns, "service_index"]
+        train, test = indexer.transform(train), indexer.transform(test)
     assembler = VectorAssembler(inputCols=list(columns), outputCol="features")
     tree = DecisionTreeClassifier(
         labelCol=truth, featuresCol="features", weightCol="class_weight",
         maxDepth=params.tree_max_depth, minInstancesPerNode=params.tree_min_leaf, seed=params.seed,
+        maxBins=max(32, values),
     )
     model = tree.fit(assembler.transform(_balanced(train, truth)))
     scored = model.transform(assembler.transform(test))
@@ -177,9 +183,8 @@ def evaluate_tree(rows: DataFrame, truth: str, key: str, params: Params = DEFAUL
     classes = {r[truth]: r["c"] for r in rows.groupBy(truth).agg(F.count("*").alias("c")).collect()}
     if set(classes) != {0, 1} or min(classes.values()) < 2:
         raise ValueError("both classes are needed, with at least two rows each")
-    services = top_services(rows)
-    columns = tree_columns(services)
-    data = tree_matrix(rows, services)
+    columns = tree_columns([])
+    data = tree_matrix(rows, [])
     point = F.pmod(F.xxhash64(F.lit(params.seed), F.col(key)), F.lit(1_000_000)) / 1_000_000.0
     held = point < params.test_size
     results = [

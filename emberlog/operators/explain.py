@@ -7,8 +7,10 @@ from pyspark.sql import Column, DataFrame, Window as W, functions as F
 from emberlog import constants as K
 from emberlog.functions import scoring
 from emberlog.functions.texts import fill, present, two_places, with_commas
+from emberlog.operators.ordering import with_row_index
 from emberlog.operators.skew import attach_by_key
 from emberlog.params import DEFAULTS, Params
+from emberlog.session import store
 
 
 def recommended_actions(event_class="event_class") -> Column:
@@ -212,7 +214,7 @@ def event_context(events: DataFrame, seeds: DataFrame, before: int = 8, after: i
     return wanted.join(events, "row_idx")
 
 
-def earliest_per_key(events: DataFrame, key: str, limit: int = 100) -> DataFrame:
+def earliest_per_key(events: DataFrame, key: str, limit: int) -> DataFrame:
     """The first ``limit`` events per key by time.
 
     The rank filter becomes a group limit before the shuffle, so a hot key
@@ -226,8 +228,25 @@ def earliest_per_key(events: DataFrame, key: str, limit: int = 100) -> DataFrame
     )
 
 
-def related_events(events: DataFrame, seeds: DataFrame, key: str, limit: int = 100) -> DataFrame:
-    """(seed_id, event columns, rank): earliest events sharing the seed's ``key`` value.
+def related_by_key(events: DataFrame, seeds: DataFrame, key: str) -> tuple[DataFrame, DataFrame]:
+    """All events related to the seeds: links (seed_id, ``key``), and (event columns, rank by time in the key).
+
+    Each seed and each event of a seed's key is one row, however large the key.  Ranks come from
+    the dense position over (``key``, ``row_idx``), so no task orders a whole key.
+    """
+    known = events.where(F.col(key).isNotNull())
+    placed = with_row_index(known, key, "row_idx", name="_at", keep=store)
+    links = seeds.where(F.col(key).isNotNull()).select(F.col("event_id").alias("seed_id"), key)
+    first = placed.groupBy(key).agg(F.min("_at").alias("_first"), F.count("*").alias("_rows"))
+    asked = first.join(links.select(key).distinct(), key, "left_semi")
+    ranked = attach_by_key(placed, asked, [key], F.col("_at"), "_rows").where(F.col("_first").isNotNull())
+    return links, ranked.select(*events.columns, (F.col("_at") - F.col("_first") + 1).alias("rank"))
+
+
+def related_events(events: DataFrame, seeds: DataFrame, key: str, limit: int) -> DataFrame:
+    """(seed_id, event columns, rank): the ``limit`` earliest events sharing the seed's ``key`` value.
+
+    ``related_by_key`` gives all of them.
 
     The list depends on the key alone, so it is built once per key (``limit``
     events at most) and then attached to the seeds, a hot key's seeds being

@@ -301,7 +301,7 @@ def _related(name: str, key: str):
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         events = scored_table(spark, sf_dir)
-        found = explain.related_events(events, events.where("status = 'ANOMALY'"), key)
+        found = explain.related_events(events, events.where("status = 'ANOMALY'"), key, limit=100)  # as the SQL asks
         return found.select("seed_id", F.col("rank").cast("long").alias("rank"), "event_id")
 
     return run

@@ -181,7 +181,7 @@ def _top_services_sql(limit: int) -> str:
 def classifier_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     """The supervised matrix; its one-hot blocks are shown as the flagged name."""
     rows = X.with_text_measures(frequency_table(spark, sf_dir))
-    services = evaluate.top_services(cleaned_table(spark, sf_dir))
+    services = evaluate.top_services(cleaned_table(spark, sf_dir), 12)  # as the SQL asks
     matrix = evaluate.tree_matrix(rows, services)
 
     def flagged(prefix: str, names):

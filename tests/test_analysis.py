@@ -172,3 +172,16 @@ def test_live_bursts(spark, tmp_path):
     assert [tuple(r) for r in got] == [("00:00", "sshd", 25)]
     with pytest.raises(ValueError):
         read_log_stream(spark, str(source), "reference")
+
+
+def test_classifier_sees_every_service(spark):
+    """Only services of rank 13 and later are positive."""
+    from emberlog.operators import evaluate
+    from emberlog.params import DEFAULTS
+
+    made = [(f"s{k:02}", int(k >= 13), 1.0) for k in range(16) for _ in range(40 - k)]
+    rows = spark.createDataFrame(made, "service string, truth int, x double")
+    unseen = spark.createDataFrame([("new", 0, 1.0), (None, 0, 1.0)], rows.schema)
+    scored = evaluate._fit_and_score(rows, rows.unionByName(unseen), "truth", ["x"], DEFAULTS)
+    assert scored.count() == len(made) + 2
+    assert scored.limit(len(made)).where("truth <> predicted").count() == 0

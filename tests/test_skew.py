@@ -53,3 +53,16 @@ def test_facts_and_relations_match_plain_joins(skewed, hot):
     want = events.select(F.col("event_id").alias("seed_id"), "src_host").join(first, "src_host").select("seed_id", "rank", "event_id")
     assert related.count() == want.count() > 3500
     assert related.exceptAll(want).count() == 0
+
+
+def test_all_related_events_are_ranked(skewed, hot):
+    events = with_row_index(X.clean(skewed), "timestamp", "line_no").withColumn("event_id", F.concat(F.lit("E"), "row_idx"))
+    seeds = events.where("row_idx % 3 = 0")
+    links, ranked = explain.related_by_key(events, seeds, "src_host")
+    known = events.where("src_host IS NOT NULL")
+    assert links.count() == seeds.where("src_host IS NOT NULL").count()
+    rank = F.row_number().over(W.partitionBy("src_host").orderBy("row_idx")).cast("long")
+    want = known.withColumn("rank", rank).join(links.select("src_host").distinct(), "src_host", "left_semi")
+    got, want = ({(r.event_id, r["rank"]) for r in d.select("event_id", "rank").collect()} for d in (ranked, want))
+    assert got == want and ranked.count() == len(want)
+    assert max(n for _, n in got) > 400
