@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm import (
     decontamination,
+    exact_dedup,
     html_text,
+    merkle_manifest,
     minhash_dedup,
     quality,
     sentencepiece_codec,
@@ -82,6 +84,14 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op12_exact_dedup(spark, sf_dir):
+    return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
+
+
+def op13_merkle_manifest(spark, sf_dir):
+    return merkle_manifest.check(_table(spark, sf_dir, "documents"))
+
+
 OP3_SQL = r"""
 WITH item_words AS (
   SELECT item_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
@@ -182,6 +192,63 @@ SELECT doc_id, CAST(len(t) // 2 AS BIGINT) AS n_bytes, CAST(coalesce(n_removed,
 FROM d LEFT JOIN kept USING (r)
 """
 
+OP12_SQL = """
+SELECT doc_id, first_value(doc_id) OVER same AS keep_id, count(*) OVER (PARTITION BY coalesce(text, '')) AS group_size,
+  row_number() OVER same = 1 AS kept, sha256(coalesce(text, '')) AS text_sha256
+FROM documents WINDOW same AS (PARTITION BY coalesce(text, '') ORDER BY doc_id DESC NULLS LAST)
+"""
+
+
+def crc32_sql(text: str) -> str:
+    """DuckDB SQL for the unsigned CRC-32 of a text, bit by bit."""
+    one_bit = "lambda c, b: CASE WHEN c % 2 = 1 THEN xor(c >> 1, 3988292384) ELSE c >> 1 END"
+    byte = f"lambda c, x: list_reduce(list_prepend(xor(c, CAST(x AS BIGINT)), CAST(range(8) AS BIGINT[])), {one_bit})"
+    codes = f"list_transform(string_split({text}, ''), lambda x: CAST(ascii(x) AS BIGINT))"
+    return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {byte}), 4294967295)"
+
+
+_FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
+_LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
+
+OP13_SQL = f"""
+WITH RECURSIVE leaves AS (
+  SELECT row_number() OVER () AS r, doc_id, source, {_LEAF.format(text="text")} AS leaf,
+    CASE WHEN {crc32_sql("CAST(doc_id AS VARCHAR)")} % 2 = 0 THEN {_LEAF.format(text="replace(text, chr(10), '')")}
+      ELSE {_LEAF.format(text="text")} END AS given
+  FROM documents),
+placed AS (
+  SELECT *, coalesce('+' || source, '') AS g, count(*) OVER (PARTITION BY source) AS n,
+    row_number() OVER (PARTITION BY source ORDER BY doc_id NULLS FIRST, leaf, r) - 1 AS pos FROM leaves),
+up AS (
+  SELECT g, pos, leaf AS h, n, 0 AS lvl FROM placed
+  UNION ALL
+  SELECT g, pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3, lvl + 1 FROM up WHERE n > 1 GROUP BY g, pos // 3, n, lvl),
+tops AS (SELECT g, h, row_number() OVER (ORDER BY encode(g)) - 1 AS pos, count(*) OVER () AS n FROM up WHERE n = 1),
+above AS (
+  SELECT pos, h, n, 0 AS lvl FROM tops
+  UNION ALL
+  SELECT pos // 3, sha256(string_agg(h, '' ORDER BY pos)), (n + 2) // 3, lvl + 1 FROM above WHERE n > 1 GROUP BY pos // 3, n, lvl),
+runs AS (SELECT g, lvl, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM up WHERE n > 1 GROUP BY g, lvl, pos // 3),
+runs_above AS (SELECT lvl, pos // 3 AS run, list(h ORDER BY pos) AS hs FROM above WHERE n > 1 GROUP BY lvl, pos // 3),
+low AS (
+  SELECT r, g, pos, given AS h, '' AS proof, 0 AS lvl FROM placed
+  UNION ALL
+  SELECT r, f.g, f.pos // 3,
+    sha256(array_to_string(hs[:f.pos % 3], '') || f.h || array_to_string(hs[f.pos % 3 + 2:], '')),
+    proof || array_to_string(hs[:f.pos % 3], '') || array_to_string(hs[f.pos % 3 + 2:], ''), f.lvl + 1
+  FROM low f JOIN runs ON runs.g = f.g AND runs.lvl = f.lvl AND runs.run = f.pos // 3),
+high AS (
+  SELECT r, tops.pos, low.h, proof, 0 AS lvl
+  FROM (SELECT r, g, arg_max(h, lvl) AS h, arg_max(proof, lvl) AS proof FROM low GROUP BY r, g) low JOIN tops USING (g)
+  UNION ALL
+  SELECT r, f.pos // 3, sha256(array_to_string(hs[:f.pos % 3], '') || f.h || array_to_string(hs[f.pos % 3 + 2:], '')),
+    proof || array_to_string(hs[:f.pos % 3], '') || array_to_string(hs[f.pos % 3 + 2:], ''), f.lvl + 1
+  FROM high f JOIN runs_above ON runs_above.lvl = f.lvl AND runs_above.run = f.pos // 3),
+ends AS (SELECT r, arg_max(h, lvl) AS folded, arg_max(proof, lvl) AS proof FROM high GROUP BY r)
+SELECT doc_id, leaf, tops.h AS subroot, root.h AS root, sha256(ends.proof) AS proof_sha256, folded AS folded_root, folded = root.h AS verified
+FROM placed JOIN ends USING (r) JOIN tops ON tops.g = placed.g, (SELECT h FROM above WHERE n = 1) root
+"""
+
 QUERIES = {
     "op1_quality": (op1_quality, None),
     "op2_token_counts": (op2_token_counts, None),
@@ -193,4 +260,6 @@ QUERIES = {
     "op8_minhash_dedup": (op8_minhash_dedup, OP8_SQL),
     "op9_html_text": (op9_html_text, None),
     "op10_suffix_dedup": (op10_suffix_dedup, OP10_SQL),
+    "op12_exact_dedup": (op12_exact_dedup, OP12_SQL),
+    "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
