@@ -6,6 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.llm import (
+    conversation_trie,
     decontamination,
     exact_dedup,
     html_text,
@@ -84,6 +85,10 @@ def op10_suffix_dedup(spark, sf_dir):
     return suffix_dedup.digests(suffix_dedup.drop_repeats(_table(spark, sf_dir, "documents")))
 
 
+def op11_prefix_trie(spark, sf_dir):
+    return conversation_trie.prefix_trie(_table(spark, sf_dir, "conversations")).drop("enters_at")
+
+
 def op12_exact_dedup(spark, sf_dir):
     return exact_dedup.exact_duplicates(_table(spark, sf_dir, "documents"))
 
@@ -207,6 +212,39 @@ def crc32_sql(text: str) -> str:
     return f"xor(list_reduce(list_prepend(CAST(4294967295 AS BIGINT), {codes}), {byte}), 4294967295)"
 
 
+OP11_SQL = f"""
+WITH t AS (
+  SELECT conv_id, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, '')) AS code, strlen(coalesce(text, '')) AS bytes,
+    row_number() OVER (PARTITION BY conv_id
+      ORDER BY turn NULLS FIRST, sha256(strlen(coalesce(role, '')) || ':' || coalesce(role, '') || coalesce(text, ''))) - 1 AS place
+  FROM conversations WHERE conv_id IS NOT NULL),
+own AS (
+  SELECT conv_id, count(*) AS n, conv_id - conv_id % 5 AS base, {crc32_sql("CAST(conv_id AS VARCHAR)")} % 9 AS h FROM t GROUP BY conv_id),
+c AS (
+  SELECT own.*, least(own.h, coalesce(b.n, 0)) AS begun, least(own.h, coalesce(b.n, 0)) + greatest(own.n - own.h, 0) AS total
+  FROM own LEFT JOIN own b ON b.conv_id = own.base),
+r AS (
+  SELECT conv_id, begun + place - h + 1 AS depth, code, bytes FROM t JOIN c USING (conv_id) WHERE place >= h
+  UNION ALL
+  SELECT c.conv_id, place + 1, code, bytes FROM t JOIN c ON t.conv_id = c.base WHERE place < h),
+p AS (
+  SELECT conv_id, depth, bytes, sha256(string_agg(code, '') OVER (PARTITION BY conv_id ORDER BY depth)) AS prefix FROM r
+  UNION ALL SELECT conv_id, 0, 0, '' FROM c),
+node AS (
+  SELECT depth, prefix, min(conv_id) AS node, count(*) AS n_convs, any_value(bytes) AS bytes,
+    sha256(coalesce(string_agg(CAST(conv_id AS VARCHAR), ',' ORDER BY conv_id) FILTER (WHERE depth = total), '')) AS ends
+  FROM p JOIN c USING (conv_id) GROUP BY depth, prefix),
+up AS (SELECT n.*, p.prefix AS parent FROM node n LEFT JOIN p ON p.conv_id = n.node AND p.depth = n.depth - 1),
+kids AS (SELECT depth - 1 AS depth, parent AS prefix, count(*) AS n_children FROM up WHERE depth > 0 GROUP BY ALL),
+below AS (
+  SELECT p.depth, p.prefix, count(*) FILTER (WHERE k.n_children IS NULL) AS n_leaves, sum((d.n_convs - 1) * d.bytes) AS saved
+  FROM node d JOIN p ON p.conv_id = d.node AND p.depth <= d.depth LEFT JOIN kids k ON k.depth = d.depth AND k.prefix = d.prefix GROUP BY ALL)
+SELECT up.node AS conv_id, CAST(up.depth AS BIGINT) AS depth, q.node AS parent_conv_id, up.n_convs, coalesce(n_children, 0) AS n_children, n_leaves,
+  CAST(saved AS BIGINT) AS saved_tokens, up.ends AS ends_sha256
+FROM up LEFT JOIN node q ON q.depth = up.depth - 1 AND q.prefix = up.parent LEFT JOIN kids k ON k.depth = up.depth AND k.prefix = up.prefix
+  JOIN below b ON b.depth = up.depth AND b.prefix = up.prefix
+"""
+
 _FIELD = "coalesce(CAST(strlen(CAST({0} AS VARCHAR)) AS VARCHAR) || ':' || CAST({0} AS VARCHAR), '-')"
 _LEAF = "sha256(" + " || ".join(_FIELD.format(c) for c in ("doc_id", "source", "lang", "n_chars", "{text}")) + ")"
 
@@ -260,6 +298,7 @@ QUERIES = {
     "op8_minhash_dedup": (op8_minhash_dedup, OP8_SQL),
     "op9_html_text": (op9_html_text, None),
     "op10_suffix_dedup": (op10_suffix_dedup, OP10_SQL),
+    "op11_prefix_trie": (op11_prefix_trie, OP11_SQL),
     "op12_exact_dedup": (op12_exact_dedup, OP12_SQL),
     "op13_merkle_manifest": (op13_merkle_manifest, OP13_SQL),
 }
