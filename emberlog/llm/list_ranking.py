@@ -71,8 +71,8 @@ def _by_coins(elements: DataFrame, ids: list[str], weights: list[str], seed: int
     row = F.struct(takes.alias("takes"), *ids, *nexts, *weights)
     keys = [F.when(takes, F.col(n)).otherwise(F.col(c)).alias(f"_{c}") for c, n in zip(ids, nexts)]
     met = elements.select(*keys, row.alias("row")).groupBy(*[f"_{c}" for c in ids]).agg(F.collect_list("row").alias("rows"))  # two rows at most
-    taker, own = F.filter("rows", lambda r: r["takes"])[0], F.filter("rows", lambda r: ~r["takes"])[0]
-    met = met.select(taker.alias("t"), own.alias("o"))
+    first = lambda keep: F.get(F.filter("rows", keep), F.lit(0))
+    met = met.select(first(lambda r: r["takes"]).alias("t"), first(lambda r: ~r["takes"]).alias("o"))
     both = F.col("t").isNotNull()
 
     def out(x, head, before, last, after, total):
