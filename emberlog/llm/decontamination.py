@@ -70,31 +70,41 @@ def item_windows(benchmark: DataFrame) -> DataFrame:
     return paired.select("span", "mark", window.alias("window"), "item_id").distinct()
 
 
-def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
-    """``(doc_id, th, n_words, spans, item_ids)`` of rows with words in item windows, one row a (doc_id, text).
+def _probed(texts: DataFrame, windows: DataFrame, spans: list[int]) -> DataFrame:
+    """``(doc_id, th, span, mark, n_words)``: marks of texts that windows have too.
 
-    ``spans`` are the merged hit ranges ``{from, to}`` of word positions (``to``
-    excluded), ``item_ids`` the items as sorted strings.  Null ids of items do
-    not count as items, their windows do.  Null texts, texts without words and
-    empty tables give no row; other columns are ignored.
+    One more row a text has ``span`` 0 and the number of its words, so that
+    words are cut, hashed and counted in one pass.
     """
+
+    def probe(span, mark, n_words):
+        return F.struct(F.lit(span).alias("span"), mark.alias("mark"), n_words.alias("n_words"))
+
+    def probes(words):
+        def of_span(span):
+            return F.transform(F.array_distinct(window_marks(words, span)), lambda m: probe(span, m, F.lit(0)))
+
+        found = [of_span(span) for span in spans]
+        return F.concat(F.array(probe(0, F.xxhash64("doc_id", "th"), F.size(words))), *found)
+
+    # outer: the optimizer would else look at the size first and cut the words a second time
+    rows = texts.select("doc_id", "th", F.explode_outer(_let(words_of(F.col("text")), probes)).alias("probe"))
+    marks = windows.select("span", "mark", F.lit(True).alias("known")).distinct()
+    met = rows.select("doc_id", "th", "probe.*").join(marks, ["span", "mark"], "left").where("span = 0 OR known")
+    return stored(met.select("doc_id", "th", "span", "mark", "n_words"))
+
+
+def _leaks_and_counts(docs: DataFrame, benchmark: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """What ``find_leaks`` returns, and ``(doc_id, th, n_words)`` of every row."""
     windows = stored(item_windows(benchmark))
     texts = keyed(docs)
     spans = [r.span for r in windows.select("span").distinct().orderBy("span").collect()]  # at most SPAN values
-    found = None
-    for span in spans:
-        marks = windows.where(F.col("span") == span).select("mark").distinct()
-        probes = texts.select("doc_id", "th", F.explode(F.array_distinct(window_marks(words_of(F.col("text")), span))).alias("mark"))
-        hits = probes.join(marks, "mark").select("doc_id", "th", F.lit(span).alias("span"), "mark")
-        found = hits if found is None else found.unionByName(hits)
-    if found is None:
-        found = texts.select("doc_id", "th", F.lit(1).alias("span"), F.lit(0).cast("long").alias("mark")).limit(0)
-    marked = stored(found.groupBy("doc_id", "th").agg(F.collect_set(F.struct("span", "mark")).alias("marks")))
+    probed = _probed(texts, windows, spans)
+    marked = stored(probed.where("span > 0").groupBy("doc_id", "th").agg(F.collect_set(F.struct("span", "mark")).alias("marks")))
 
     # extend: the windows that start where a joined mark is kept, compared as words
-    suspects = attach(texts, marked, "inner").select(
-        "doc_id", "th", "marks", words_of(F.col("text")).alias("words")
-    )
+    suspects = attach(texts, marked, "inner").select("doc_id", "th", "marks", words_of(F.col("text")).alias("words"))
+    suspects = stored(suspects)  # what follows must not be planned below the join
     ranges = None
     for span in spans:
         own = F.transform(F.filter("marks", lambda m: m["span"] == span), lambda m: m["mark"])
@@ -116,7 +126,19 @@ def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
         F.sort_array(F.collect_set("range")).alias("ranges"),
         F.array_sort(F.array_distinct(F.transform(F.flatten(F.collect_set("ids")), lambda i: i.cast("string")))).alias("item_ids"),
     )
-    return per_doc.select("doc_id", "th", "n_words", merged_ranges(F.col("ranges")).alias("spans"), "item_ids")
+    leaks = per_doc.select("doc_id", "th", "n_words", merged_ranges(F.col("ranges")).alias("spans"), "item_ids")
+    return leaks, probed.where("span = 0").select("doc_id", "th", F.col("n_words").cast("long").alias("n_words"))
+
+
+def find_leaks(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
+    """``(doc_id, th, n_words, spans, item_ids)`` of rows with words in item windows, one row a (doc_id, text).
+
+    ``spans`` are the merged hit ranges ``{from, to}`` of word positions (``to``
+    excluded), ``item_ids`` the items as sorted strings.  Null ids of items do
+    not count as items, their windows do.  Null texts, texts without words and
+    empty tables give no row; other columns are ignored.
+    """
+    return _leaks_and_counts(docs, benchmark)[0]
 
 
 def merged_ranges(ranges: Column) -> Column:
@@ -140,7 +162,7 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
     Rows without words have ``n_words`` 0 and are clean.  A missing item list
     is the empty string in ``items_sha256``.  Repeated rows are all reported.
     """
-    leaks = find_leaks(docs, benchmark)
+    leaks, counted = _leaks_and_counts(docs, benchmark)
     facts = stored(
         leaks.select(
             "doc_id", "th",
@@ -149,11 +171,6 @@ def contamination(docs: DataFrame, benchmark: DataFrame) -> DataFrame:
             F.array_join("item_ids", ",").alias("items"),
         )
     )
-    counted = docs.select(
-        "doc_id",
-        F.xxhash64(F.coalesce(F.col("text"), F.lit(""))).alias("th"),
-        F.coalesce(F.regexp_count("text", F.lit(_WORD)), F.lit(0)).cast("long").alias("n_words"),
-    )
     full = attach(counted, facts)
     n_hit = F.coalesce("n_hit", F.lit(0).cast("long"))
     return full.select(
