@@ -9,7 +9,8 @@ import pyarrow as pa
 
 #: Bytes or words that are hashed at a time; bounds memory for texts of any length.
 CHUNK = 1 << 19
-_LONG_WORD = 4096
+#: Longer words are hashed whole: long texts made for it collide modulo 2**64 under any base.
+_LONG_WORD = 128
 _U = np.uint64
 
 _IS_SPACE = np.zeros(256, bool)

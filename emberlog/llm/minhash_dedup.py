@@ -31,7 +31,6 @@ BLOCK = 256
 
 _U = np.uint64
 _CHUNK = 1 << 15
-_LAST = (1 << 63) - 1
 
 
 def _permutations() -> tuple[np.ndarray, np.ndarray]:
@@ -257,7 +256,7 @@ def near_duplicates(
     component that stands for all, which is the smallest id, of equal ids the smallest hash.
     """
     signed = settled(signatures(docs, width))
-    place = F.struct(F.coalesce(F.col("doc_id"), F.lit(_LAST)).alias("order"), F.col("doc_id").isNull().alias("no_id"), "th")
+    place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("order"), "th")
     nodes = stored(
         signed.where("n > 0")
         .groupBy("set_a", "set_b")
@@ -304,8 +303,7 @@ def near_duplicates(
     rows = signed.select("doc_id", "th", "n", "set_a", "set_b")
     known = stored(grouped).withColumnsRenamed({"set_a": "_a", "set_b": "_b"})
     full = rows.join(known, (F.col("n") > 0) & (F.col("set_a") == F.col("_a")) & (F.col("set_b") == F.col("_b")), "left")
-    lowest_id = F.col("first.order")
-    component = F.when(F.col("first").isNull(), F.col("doc_id")).when(lowest_id < _LAST, lowest_id)
+    component = F.when(F.col("first").isNull(), F.col("doc_id")).when(~F.col("first.no_id"), F.col("first.order"))
     chosen = F.col("first").isNull() | (F.col("first") == place)
     more = ["th", chosen.alias("chosen")] if with_key else []
     return full.select("doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"), *more).withColumn(

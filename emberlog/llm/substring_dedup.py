@@ -128,7 +128,8 @@ _LAST = (1 << 63) - 1
 def repeated_spans(docs: DataFrame) -> DataFrame:
     """``(doc_id, th, ranges)``: word ranges whose windows also start in a row with a smaller ``doc_id``.
 
-    Rows with the same ``doc_id`` never remove each other's words; a null id is larger than all.
+    Rows with the same ``doc_id`` never remove each other's words; a null id is larger than all
+    (and as large as 2**63 - 1, so rows with these two ids leave each other's words).
     """
     texts = keyed(docs)
     order = F.coalesce(F.col("doc_id"), F.lit(_LAST))

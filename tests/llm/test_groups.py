@@ -25,6 +25,11 @@ def rows(spark, small_dir):
         base.append((7000 + k, " ".join(words)))
     odd = ["a " * 300, "b " + "a " * 120, "x" * 3000, "y" + "x" * 450, "ab " * 100 + "ba " * 70, None, "", " \n", "one", "ONE", "é" * 400]
     base += [(9000 + k, t) for k, t in enumerate(odd)]
+    # two words that no polynomial modulo 2**64 tells apart
+    one = "".join("ab"[bin(k).count("1") % 2] for k in range(2048))
+    other = one.translate({97: 98, 98: 97})
+    many = " ".join(f"w{k}" for k in range(30))
+    base += [(9300, one), (9301, other), (9302, f"{many} {one} {many}"), (9303, f"{many} {other} {many}"), (2**63 - 1, " ".join(big[2].split()[:9]))]
     return base + [(None, big[0]), (None, big[0]), (9100, big[1]), (9100, big[1])]
 
 
