@@ -132,7 +132,6 @@ NEGATIVE_LABELS = ("0", "false", "normal")
 RARE_TEMPLATE_COUNT = 3
 UNCOMMON_TEMPLATE_PCT = 1
 QUIET_HOUR_PCT = 3
-SMALL_INPUT_ROWS = 5000
 
 # --- fixed values: item spellings in time-window transactions ----------------
 ANOMALY_ITEM = "ANOMALY_IN_WINDOW"

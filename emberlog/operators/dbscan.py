@@ -6,7 +6,10 @@ neighbours (Gunawan 2013; Gan and Tao 2015).  Then
 * a cell whose weight reaches ``min_samples`` has only core points, so its
   points are never compared with each other;
 * any other cell holds fewer than ``min_samples`` points, so comparing them
-  with the cells around is linear in the number of points;
+  with each other is linear in the number of points;
+* a point of such a thin cell counts a dense cell by weight: its box is halved
+  again and again, a part wholly within reach counts unopened, a part wholly
+  beyond is dropped, and only small parts on the border are opened;
 * two dense cells are linked through their boxes and corner points, and the
   few undecided pairs are split into halves until every one is decided.
 
@@ -31,8 +34,8 @@ from emberlog.session import cut_lineage
 BLOCK = "event_class"
 BLOCK_GAP = 2.0  # squared distance between the one-hots of two classes
 PROBE_DIMS = ("hour_sin", "log_length", "log_template_freq", "log_burst")
-SPLIT_CELL = 10_000  # points of one cell that may meet in one task
-MAX_SPLITS = 1024
+HOT_CELL = 100_000  # points of a cell whose facts are broadcast
+OPEN_PART = 64  # points of a dense cell, or of a part of it, that are compared one by one
 DIRECT_PAIRS = 4096  # compare two dense cells point by point up to this product
 
 
@@ -91,8 +94,11 @@ def _boxes(metric: _Metric) -> list[Column]:
 
 
 class DensityModel:
-    """Cells, neighbour cells and close pairs of one set of points; all tables are lazy
-    except ``close``, which several answers share and which is checkpointed."""
+    """Cells, neighbour cells and contacts of one set of points.
+
+    ``close`` holds the pairs of thin points within eps, ``counted`` a thin
+    point's weight in each dense cell that it reaches; several answers share them.
+    """
 
     def __init__(self, points: DataFrame, eps: float, min_samples: int, dims=tuple(NUMERIC)):
         self.metric = m = _Metric(float(eps), tuple(dims))
@@ -111,11 +117,13 @@ class DensityModel:
         )
         facts = self.cells.select("cell", "cell_weight", "n_vec")
         self.points = cut_lineage(
-            attach_by_key(placed, facts, ["cell"], F.col("vec"), "n_vec", hot_rows=SPLIT_CELL * 10)
+            attach_by_key(placed, facts, ["cell"], F.col("vec"), "n_vec", hot_rows=HOT_CELL)
             .withColumn("dense", F.col("cell_weight") >= self.min_samples)
         )
         self.cell_pairs = self._cell_pairs()
-        self.close = cut_lineage(self._close_pairs())
+        probes = cut_lineage(self._probes())
+        self.close = cut_lineage(self._close_pairs(probes.where(~F.col("dense"))))
+        self.counted = cut_lineage(self._counted(probes.where("dense")))
 
     def _cell_pairs(self) -> DataFrame:
         """Unordered pairs of cells that could hold neighbours."""
@@ -124,7 +132,7 @@ class DensityModel:
         coarse = [F.floor(F.floor(F.col(f"lo.{d}") / m.side) / reach).cast("int") for d in PROBE_DIMS]
         names = [f"g{i}" for i in range(len(PROBE_DIMS))]
         located = self.cells.select(
-            "cell", BLOCK, "n_vec", "lo", "hi", "rep",
+            "cell", BLOCK, "n_vec", "cell_weight", "lo", "hi", "rep",
             (F.col("cell_weight") >= self.min_samples).alias("dense"),
             *[c.alias(n) for c, n in zip(coarse, names)],
         )
@@ -132,7 +140,7 @@ class DensityModel:
         steps = [s for s in itertools.product((-1, 0, 1), repeat=len(names)) if s >= (0,) * len(names)]
         step = lambda s: "named_struct(" + ", ".join(f"'{n}', {v}" for v, n in zip(s, names)) + ")"
         offsets = F.expr("array(" + ", ".join(step(s) for s in steps) + ")")
-        kept = ["cell", BLOCK, "n_vec", "lo", "hi", "rep", "dense"]
+        kept = ["cell", BLOCK, "n_vec", "cell_weight", "lo", "hi", "rep", "dense"]
         a = located.withColumn("_step", F.explode(offsets)).select(
             *[F.col(c).alias("a_" + c) for c in kept],
             *[(F.col(n) + F.col(f"_step.{n}")).alias(n) for n in names],
@@ -152,43 +160,84 @@ class DensityModel:
             *on, "_home"
         )
 
-    def _close_pairs(self) -> DataFrame:
-        """(v, u): v from a thin cell, u from another cell, within eps."""
+    def _probes(self) -> DataFrame:
+        """Each thin point with the other cells whose box it may reach."""
         m = self.metric
-        both = F.array(
-            F.struct(F.col("a_cell").alias("cell"), F.col("b_cell").alias("other"),
-                     F.col("b_n_vec").alias("n_other"), F.col("b_lo").alias("lo"), F.col("b_hi").alias("hi"),
-                     F.col("b_" + BLOCK).alias("other_block"), F.col("a_dense").alias("from_dense")),
-            F.struct(F.col("b_cell").alias("cell"), F.col("a_cell").alias("other"),
-                     F.col("a_n_vec").alias("n_other"), F.col("a_lo").alias("lo"), F.col("a_hi").alias("hi"),
-                     F.col("a_" + BLOCK).alias("other_block"), F.col("b_dense").alias("from_dense")),
-        )
-        directed = self.cell_pairs.select(F.explode(both).alias("d")).select("d.*").where(~F.col("from_dense"))
-        thin = self.points.where(~F.col("dense")).select("cell", "vec", "p", BLOCK)
-        splits = lambda n: F.least(F.ceil(n / F.lit(SPLIT_CELL)), F.lit(MAX_SPLITS)).cast("int")
-        probes = (
-            thin.join(directed, "cell")
-            .where(m.near(m.boxes_min("p", "p", "lo", "hi", (BLOCK, "other_block"))))
-            .select(
-                F.col("vec").alias("v"), F.col("cell").alias("v_cell"), F.col("p").alias("v_p"),
-                F.col(BLOCK).alias("v_block"), "other",
-                F.explode(F.sequence(F.lit(0), splits(F.col("n_other")) - 1)).alias("split"),
-            )
+
+        def seen(side, other):
+            names = {"cell": "part", "cell_weight": "weight", "n_vec": "n", "lo": "lo", "hi": "hi", BLOCK: "u_block", "dense": "dense"}
+            fields = [F.col(f"{other}_{c}").alias(n) for c, n in names.items()]
+            return F.struct(F.col(side + "_cell").alias("v_cell"), F.col(side + "_dense").alias("from_dense"), *fields)
+
+        directed = self.cell_pairs.select(F.explode(F.array(seen("a", "b"), seen("b", "a"))).alias("d")).select("d.*")
+        thin = self.points.where(~F.col("dense")).select(
+            F.col("cell").alias("v_cell"), F.col("vec").alias("v"), F.col("p").alias("v_p"), F.col(BLOCK).alias("v_block")
         )
-        targets = self.points.select(
-            F.col("vec").alias("u"), F.col("cell").alias("other"), F.col("p").alias("u_p"),
-            F.col(BLOCK).alias("u_block"), F.col("weight").alias("u_weight"), F.col("dense").alias("u_dense"),
-            F.pmod(F.xxhash64("vec"), splits(F.col("n_vec"))).cast("int").alias("split"),
+        met = thin.join(directed.where(~F.col("from_dense")).drop("from_dense"), "v_cell").withColumn("cell", F.col("part"))
+        return met.where(m.near(m.boxes_min("v_p", "v_p", "lo", "hi", ("v_block", "u_block"))))
+
+    def _met(self, probes: DataFrame, targets: DataFrame) -> DataFrame:
+        """Probes with the points of their part within eps."""
+        named = targets.select(
+            "part", F.col("vec").alias("u"), F.col("p").alias("u_p"), F.col("weight").alias("u_weight")
         )
-        met = probes.join(targets, ["other", "split"])
-        return met.where(m.near(m.points("v_p", "u_p", ("v_block", "u_block")))).select(
-            "v", "v_cell", "u", F.col("other").alias("u_cell"), "u_weight", "u_dense"
+        m = self.metric
+        return probes.join(named, "part").where(m.near(m.points("v_p", "u_p", ("v_block", "u_block"))))
+
+    def _close_pairs(self, probes: DataFrame) -> DataFrame:
+        """(v, u): two points of thin cells within eps; a thin cell has few points, so these are few a point."""
+        thin = self.points.where(~F.col("dense")).withColumn("part", F.col("cell"))
+        return self._met(probes, thin).select("v", "v_cell", "u", F.col("cell").alias("u_cell"), "u_weight")
+
+    def _parts(self, level: int, cells: DataFrame) -> DataFrame:
+        """Boxes of the dense ``cells`` halved ``level`` times, with the box of the level above."""
+        m = self.metric
+        return (
+            self.points.where("dense")
+            .join(cells, "cell", "left_semi")
+            .withColumn("above", m.cell_key(level - 1))
+            .withColumn("part", m.cell_key(level))
+            .groupBy("cell", "above", "part", BLOCK)
+            .agg(F.count("*").alias("n"), F.sum("weight").alias("weight"), *_boxes(m))
         )
 
+    def _counted(self, probes: DataFrame) -> DataFrame:
+        """(v, v_cell, cell, weight): weight of the points of a dense cell within eps of v, at least 1.
+
+        The weight is complete unless the ones found reach ``min_samples``: then v is core whatever else
+        is near, and a cell that v is known to touch is not opened further.
+        """
+        m, pair = self.metric, ["v", "v_cell", "cell"]
+        blocks = ("v_block", "u_block")
+        kept = [*pair, "v_p", "v_block", "u_block", "part", "n", "weight", "lo", "hi"]
+        todo, found, level = probes.select(*kept), None, 0
+        while True:
+            inside = m.near(m.boxes_max("v_p", "v_p", "lo", "hi", blocks))
+            judged = cut_lineage(todo.withColumn("_inside", inside))
+            whole = judged.where("_inside").select(*pair, "weight")
+            border = judged.where(~F.col("_inside")).drop("_inside")
+            points = self.points.where("dense").withColumn("part", m.cell_key(level) if level else F.col("cell"))
+            opened = self._met(border.where(F.col("n") <= OPEN_PART), points).select(*pair, F.col("u_weight").alias("weight"))
+            more = whole.unionByName(opened).groupBy(*pair).agg(F.sum("weight").alias("weight"))
+            found = cut_lineage(more if found is None else found.unionByName(more).groupBy(*pair).agg(F.sum("weight").alias("weight")))
+            border = border.where(F.col("n") > OPEN_PART)
+            if border.isEmpty():
+                return found
+            core = found.groupBy("v").agg(F.sum("weight").alias("_all")).where(F.col("_all") >= self.min_samples)
+            border = border.join(found.join(core, "v", "left_semi").select("v", "cell"), ["v", "cell"], "left_anti")
+            level += 1
+            parts = self._parts(level, border.select("cell").distinct()).select(
+                "cell", F.col("above").alias("part"), F.struct("part", "n", "weight", "lo", "hi").alias("_in")
+            )
+            inner = border.select(*pair, "v_p", "v_block", "u_block", "part").join(parts, ["cell", "part"]).drop("part")
+            todo = inner.select(*pair, "v_p", "v_block", "u_block", "_in.*")
+            todo = todo.where(m.near(m.boxes_min("v_p", "v_p", "lo", "hi", blocks))).select(*kept)
+
     # ------------------------------------------------------------------ flags
     def thin_points(self) -> DataFrame:
-        """Points of thin cells with their full neighbour weight and core flag."""
-        around = self.close.groupBy(F.col("v").alias("vec")).agg(F.sum("u_weight").alias("around"))
+        """Points of thin cells with their core flag; ``neighbours`` is their whole weight where it is below ``min_samples``."""
+        near = self.close.select("v", F.col("u_weight").alias("weight")).unionByName(self.counted.select("v", "weight"))
+        around = near.groupBy(F.col("v").alias("vec")).agg(F.sum("weight").alias("around"))
         total = F.col("cell_weight") + F.coalesce("around", F.lit(0))
         return (
             self.points.where(~F.col("dense"))
@@ -200,10 +249,9 @@ class DensityModel:
     def _core_contacts(self, thin: DataFrame) -> DataFrame:
         """(vec, cell): each thin point with the cells of the core points within its reach."""
         core = thin.where("core")
-        outside = self.close.join(core.select(F.col("vec").alias("u"), F.lit(True).alias("_c")), "u", "left")
-        outside = outside.where(F.col("u_dense") | F.col("_c")).select(
-            F.col("v").alias("vec"), F.col("u_cell").alias("cell")
-        )
+        outside = self.close.join(core.select(F.col("vec").alias("u")), "u", "left_semi")
+        outside = outside.select(F.col("v").alias("vec"), F.col("u_cell").alias("cell"))
+        outside = outside.unionByName(self.counted.select(F.col("v").alias("vec"), "cell"))
         own = thin.select("vec", "cell").join(core.select("cell").distinct(), "cell", "left_semi")
         return outside.unionByName(own.select("vec", "cell"))
 
@@ -239,7 +287,7 @@ class DensityModel:
             m.near(m.points("a_p", "b_p", ("a_block", "b_block")))
         ).select("a", "b")
         links = pairs.where("sure").select("a", "b").unionByName(direct)
-        for found in self._split_links(undecided.where(~small).select("a", "b"), dense):
+        for found in self._split_links(undecided.where(~small).select("a", "b")):
             links = links.unionByName(found)
         return links
 
@@ -250,7 +298,7 @@ class DensityModel:
         )
         return pairs.join(named, side)
 
-    def _split_links(self, pairs: DataFrame, dense: DataFrame):
+    def _split_links(self, pairs: DataFrame):
         """Decide large undecided pairs by halving both cells again and again."""
         m = self.metric
         todo = cut_lineage(pairs.select("a", "b", F.col("a").alias("a_sub"), F.col("b").alias("b_sub")))
@@ -258,17 +306,11 @@ class DensityModel:
         while not todo.isEmpty():
             level += 1
             involved = todo.select(F.explode(F.array("a", "b")).alias("cell")).distinct()
-            parts = (
-                dense.join(involved, "cell", "left_semi")
-                .withColumn("parent", m.cell_key(level - 1))
-                .withColumn("part", m.cell_key(level))
-                .groupBy("cell", "parent", "part", BLOCK)
-                .agg(F.count("*").alias("n"), *_boxes(m))
-            )
+            parts = self._parts(level, involved)
             both = todo
             for side in ("a", "b"):
                 named = parts.select(
-                    F.col("cell").alias(side), F.col("parent").alias(side + "_sub"),
+                    F.col("cell").alias(side), F.col("above").alias(side + "_sub"),
                     *[F.col(c).alias(f"{side}_{c}") for c in ("part", "n", "lo", "hi", "rep", BLOCK)],
                 )
                 both = both.join(named, [side, side + "_sub"])
@@ -298,10 +340,11 @@ class DensityModel:
         core = self.points.where("dense").select("vec", "cell", "first_row").unionByName(core_thin)
         starts = core.groupBy("cell").agg(F.min("first_row").alias("first_row"))
         thin_links = (
-            self.close.join(core_thin.select(F.col("vec").alias("v")), "v", "left_semi")
-            .join(core_thin.select(F.col("vec").alias("u"), F.lit(True).alias("_c")), "u", "left")
-            .where(F.col("u_dense") | F.col("_c"))
-            .select(F.col("v_cell").alias("a"), F.col("u_cell").alias("b"))
+            self.close.join(core_thin.select(F.col("vec").alias("u")), "u", "left_semi")
+            .select("v", "v_cell", F.col("u_cell").alias("cell"))
+            .unionByName(self.counted.select("v", "v_cell", "cell"))
+            .join(core_thin.select(F.col("vec").alias("v")), "v", "left_semi")
+            .select(F.col("v_cell").alias("a"), F.col("cell").alias("b"))
         )
         links = self._dense_links().unionByName(thin_links)
         rooted = connected_components(starts.select(F.col("cell").alias("id")), links)

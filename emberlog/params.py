@@ -10,6 +10,7 @@ from typing import Union
 class Params:
     eps: float = 0.5
     min_samples: int = 10
+    density: str = "given"  # or "derived": eps and min_samples from the distances to the k-th neighbour
     burst_threshold: int = 20
     window_minutes: int = 5
     tree_max_depth: int = 8

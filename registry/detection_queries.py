@@ -9,7 +9,7 @@ from emberlog.functions import scoring
 from emberlog.operators import evaluate, features as X, projection as P
 from emberlog.operators.dbscan import dbscan, dbscan_noise
 from emberlog.operators.forest import fit_forest, scale_scores
-from emberlog.operators.neighbours import density_parameters as derive
+from emberlog.operators.neighbours import density_parameters as derive, k_distances
 from emberlog.params import DEFAULTS
 from emberlog.plans.analysis import analyze, score_unseen
 from emberlog.session import cut_lineage
@@ -43,7 +43,7 @@ def density_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
 _DERIVED = f"""size AS (SELECT CAST(sum(weight) AS BIGINT) AS n FROM vec),
 pick AS (SELECT n, greatest(4, least(10, greatest(4, n // 100))) AS k FROM size),
 pairs AS (SELECT a.v, a.weight AS w, b.weight AS bw, sqrt({_DISTANCE} + CASE WHEN a.event_class = b.event_class THEN 0 ELSE 2 END) AS d
-  FROM vec a, vec b WHERE (SELECT n FROM size) < 5000),
+  FROM vec a, vec b),
 ranked AS (SELECT v, w, d, sum(bw) OVER (PARTITION BY v ORDER BY d ROWS UNBOUNDED PRECEDING) AS reached FROM pairs),
 kd AS (SELECT v, any_value(w) AS w, min(d) AS d FROM ranked, pick WHERE reached >= least(k, n) GROUP BY v),
 rows_kd AS (SELECT d, unnest(range(w)) FROM kd)"""
@@ -52,22 +52,32 @@ rows_kd AS (SELECT d, unnest(range(w)) FROM kd)"""
 @query(
     "density_parameters",
     from_vectors(
-        """SELECT n AS rows, n < 5000 AS derived, CASE WHEN n < 5000 THEN k ELSE 10 END AS min_samples,
-        round(CASE WHEN n < 5000 THEN greatest((SELECT quantile_cont(d, 0.95) FROM rows_kd), 0.1) ELSE 0.5 END, 3) AS eps FROM pick""",
+        "SELECT n AS rows, k AS min_samples, round(greatest((SELECT quantile_cont(d, 0.95) FROM rows_kd), 0.1), 6) AS eps FROM pick",
         _DERIVED,
     ),
 )
 def density_parameters(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Radius and neighbour count: derived below 5000 rows, the given ones otherwise."""
+    """Radius and neighbour count derived from the vectors."""
     points = vector_table(spark, sf_dir)
     rows = points.agg(F.sum("weight")).first()[0]
-    eps, samples, derived = derive(points, rows, DEFAULTS)
+    eps, samples, _ = derive(points, rows, DEFAULTS.with_(density="derived"))
     return points.agg(F.sum("weight").alias("rows")).select(
-        "rows", F.lit(derived).alias("derived"), F.lit(samples).cast("long").alias("min_samples"),
-        F.lit(round(eps, 3)).alias("eps"),
+        "rows", F.lit(samples).cast("long").alias("min_samples"), F.round(F.lit(eps), 6).alias("eps")
     )
 
 
+@query(
+    "neighbour_distances",
+    from_vectors(f"SELECT {_KEY}, kd.w AS weight, round(kd.d, 6) AS k_distance FROM kd JOIN vec USING (v)", _DERIVED),
+)
+def neighbour_distances(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Distance of every vector to its k-th nearest row."""
+    points = vector_table(spark, sf_dir)
+    rows = points.agg(F.sum("weight")).first()[0]
+    samples = max(4, min(DEFAULTS.min_samples, max(4, rows // 100)))
+    return k_distances(points, samples).withColumn("k_distance", F.round("k_distance", 6))
+
+
 @query("isolation_forest")
 def isolation_forest(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Anomaly score and flag of every distinct vector."""

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from emberlog.operators import dbscan as D, features as X, forest as I
 from emberlog.operators.components import connected_components
-from emberlog.operators.neighbours import density_parameters
+from emberlog.operators.neighbours import density_parameters, k_distances
 from emberlog.operators.ordering import weighted_quantile, with_row_index
 from emberlog.operators.skew import attach_by_key
 from emberlog.params import DEFAULTS
@@ -75,16 +75,65 @@ def test_clusters_match_brute_force(spark, seed, eps, samples):
 
 def test_clusters_with_split_cells(spark, monkeypatch):
     """Tiny limits: every cell is hot and every undecided link is halved."""
-    monkeypatch.setattr(D, "SPLIT_CELL", 2)
+    monkeypatch.setattr(D, "OPEN_PART", 1)
     monkeypatch.setattr(D, "DIRECT_PAIRS", 0)
     agree(spark, random_points(4, 250, 2.0), 0.6, 5)
 
 
+def hot_points(n_hot: int, n_thin: int) -> pd.DataFrame:
+    """One crowded spot, thin points about as far from it as eps 0.5, and a few far away or in other classes."""
+    frame = random_points(7, n_hot + n_thin + 6)
+    rng = np.random.default_rng(8)
+    frame["event_class"], frame["weight"] = "INFO", 1
+    for name in X.NUMERIC:
+        frame[name] = rng.uniform(0, 0.15, len(frame))
+    thin = slice(n_hot, n_hot + n_thin)
+    away = rng.normal(size=(n_thin, len(X.NUMERIC)))
+    away *= rng.uniform(0.3, 0.8, (n_thin, 1)) / np.linalg.norm(away, axis=1, keepdims=True)
+    frame.loc[frame.index[thin], X.NUMERIC] = 0.07 + away
+    frame.loc[frame.index[-6:], X.NUMERIC] = [[9.0 + k] * 6 for k in range(6)]
+    frame.loc[frame.index[-3:], "event_class"] = ["WARNING", "ERROR", "WARNING"]
+    return frame
+
+
+def test_clusters_round_a_hot_cell(spark):
+    agree(spark, hot_points(900, 250), 0.5, 40)
+
+
+def test_hot_cells_are_counted_by_weight(spark, monkeypatch):
+    """What is written about thin points grows with them, not with the points of a crowded cell they reach."""
+    monkeypatch.setattr(D, "OPEN_PART", 8)
+    rows = {}
+    for n_hot in (300, 2400):
+        frame = hot_points(n_hot, 120)
+        model = D.DensityModel(spark.createDataFrame(frame).repartition(4), 0.5, 20)
+        assert model.counted.agg(F.min("weight")).first()[0] >= 1
+        rows[n_hot] = model.counted.count() + model.close.count()
+        assert model.counted.groupBy("v", "cell").count().where("count > 1").isEmpty()
+    assert rows[2400] <= 2 * rows[300]
+
+
+@pytest.mark.parametrize("k", [2, 60, 1150])
+def test_k_distances_match_brute_force(spark, k):
+    frame = hot_points(1000, 200)
+    frame.loc[3, "weight"] = 9
+    got = k_distances(spark.createDataFrame(frame).repartition(4), k).toPandas().sort_values("message_length")
+    z = frame[X.NUMERIC].to_numpy()
+    other = (frame.event_class.to_numpy()[:, None] != frame.event_class.to_numpy()[None, :]) * 2.0
+    d = np.sqrt(((z[:, None, :] - z[None, :, :]) ** 2).sum(-1) + other)
+    order = np.argsort(d, axis=1, kind="stable")
+    reached = np.cumsum(frame.weight.to_numpy()[order], axis=1) >= k
+    want = np.take_along_axis(d, order, axis=1)[np.arange(len(d)), reached.argmax(axis=1)]
+    assert got.k_distance.to_numpy() == pytest.approx(want, abs=1e-9)
+    assert got.weight.sum() == frame.weight.sum()
+
+
 def test_clusters_of_log_vectors_at_auto_parameters(spark, logs):
     points = X.feature_vectors(X.vectors(X.signatures(X.clean(logs))))
     frame = points.toPandas()
     rows = int(frame.weight.sum())
-    eps, samples, derived = density_parameters(points, rows, DEFAULTS)
+    assert density_parameters(points, rows, DEFAULTS) == (DEFAULTS.eps, DEFAULTS.min_samples, False)
+    eps, samples, derived = density_parameters(points, rows, DEFAULTS.with_(density="derived"))
     assert derived and samples == 10
     # brute-force k-distance over the expanded rows
     z = np.repeat(frame[X.FEATURES].to_numpy(), frame.weight, axis=0)
