@@ -57,17 +57,24 @@ def clean(logs: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def with_event_ids(cleaned: DataFrame) -> DataFrame:
-    """Dense position in time order (input order breaks ties) and the id built on it."""
-    indexed = with_row_index(cleaned, "timestamp", "line_no", keep=store)
+def with_event_ids(logs: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+    """Clean rows with their dense position in time order (input order breaks ties) and the id built on it.
+
+    Raw rows are put in order; they are cleaned where the ordered table is
+    written, so every pattern runs once a row.
+    """
+    indexed = with_row_index(logs, "timestamp", "line_no", keep=lambda ordered: store(clean(ordered, params)))
     return indexed.withColumn("event_id", event_id())
 
 
 def signatures(cleaned: DataFrame) -> DataFrame:
-    """Distinct signatures with their row count, first row and the three frequencies."""
+    """Distinct signatures with their row count, first row and the three frequencies.
+
+    The counted signatures are stored, since each frequency is summed from and joined to them.
+    """
     order = F.struct("timestamp", "line_no")
-    counted = cleaned.groupBy(*SIGNATURE).agg(
-        F.count("*").alias("n"), F.min(order).alias("first_row")
+    counted = store(
+        cleaned.groupBy(*SIGNATURE).agg(F.count("*").alias("n"), F.min(order).alias("first_row"))
     )
     out = counted
     spread_by = F.struct("window_start", "message_length", "template")

@@ -6,10 +6,12 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog import constants as K
 from emberlog.functions.timing import window_start
+from emberlog.operators.ordering import with_row_index
 from emberlog.params import DEFAULTS, Params
 from emberlog.session import cut_lineage
 
 JOINER = " + "
+CHUNK_WORDS = 64  # a bitmap row covers 4096 windows
 
 
 def source_activity(events: DataFrame, limit: int | None = None) -> DataFrame:
@@ -54,9 +56,29 @@ def window_items(events: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
+def _bitmaps(items: DataFrame, numbered: DataFrame) -> DataFrame:
+    """(item, chunk, words): the windows of each item as bits, ``CHUNK_WORDS`` words of 64 windows a row."""
+    place = F.col("row_idx")
+    bits = items.join(numbered, "win").select(
+        "item",
+        F.floor(place / (64 * CHUNK_WORDS)).alias("chunk"),
+        (F.floor(place / 64) % CHUNK_WORDS).cast("int").alias("word"),
+        F.expr("shiftleft(1L, CAST(row_idx % 64 AS INT))").alias("bit"),
+    )
+    words = bits.groupBy("item", "chunk", "word").agg(F.bit_or("bit").alias("bits"))
+    held = words.groupBy("item", "chunk").agg(F.map_from_entries(F.collect_list(F.struct("word", "bits"))).alias("held"))
+    word = lambda i: F.coalesce(F.try_element_at("held", i), F.lit(0).cast("long"))
+    return held.select("item", "chunk", F.transform(F.sequence(F.lit(0), F.lit(CHUNK_WORDS - 1)), word).alias("words"))
+
+
+def _both(a: str, b: str) -> Column:
+    return F.zip_with(a, b, lambda x, y: x.bitwiseAND(y))
+
+
 def _counted(found: DataFrame, keys: list[str], windows: Column, minimum: float) -> DataFrame:
-    """Item sets (array ``items``) with count and support, frequent ones only."""
-    counts = found.groupBy(*keys).agg(F.count("*").alias("found"))
+    """Item sets (array ``items``) with count and support, frequent ones only, from bits per chunk."""
+    ones = F.aggregate("words", F.lit(0).cast("long"), lambda n, x: n + F.bit_count(x))
+    counts = found.groupBy(*keys).agg(F.sum(ones).alias("found"))
     return counts.select(
         F.array(*keys).alias("items"), "found", (F.col("found") / windows).alias("support")
     ).where(F.col("support") >= minimum)
@@ -65,30 +87,30 @@ def _counted(found: DataFrame, keys: list[str], windows: Column, minimum: float)
 def frequent_itemsets(items: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     """Item sets of one to three items: ``items found support size windows_total``.
 
-    One shuffle gathers the frequent items of each window; pairs and triples
-    are then formed inside the row and counted with map-side partial sums.
-    Triples extend frequent pairs only.  The distinct items are checkpointed
-    because every level reads them, and so is the result, which rules join
-    three times.
+    Vertical: each item is a bitmap over the numbered windows, cut into chunks,
+    and a set is counted by AND and bit counts, one row per candidate and
+    chunk instead of one per candidate and window.  Only frequent items have
+    bitmaps beyond the first level; they are few, as their supports add up to
+    the mean number of items a window.  Triples are joined from two frequent
+    pairs with one first item, and only if the third pair is frequent too.
     """
     items = cut_lineage(items)
-    windows = F.lit(items.select("win").distinct().count())
+    numbered = with_row_index(items.select("win").distinct(), "win")
+    windows = F.lit(numbered.count())
     minimum = params.min_support
-    singles = _counted(items.select(F.col("item").alias("a")), ["a"], windows, minimum)
-    keep = singles.select(F.col("items")[0].alias("item"))
-    # baskets are small but fan out a lot, so adaptive coalescing must not merge them
-    slots = int(items.sparkSession.conf.get("spark.sql.shuffle.partitions"))
-    frequent = items.join(keep, "item", "left_semi").repartition(slots, "win")
-    baskets = frequent.groupBy("win").agg(F.sort_array(F.collect_set("item")).alias("basket"))
-    longer = lambda last: F.filter("basket", lambda x: x > last)
-    firsts = baskets.select("basket", F.explode("basket").alias("a"))
-    pairs_in = firsts.select("basket", "a", F.explode(longer(F.col("a"))).alias("b"))
-    pairs = cut_lineage(_counted(pairs_in, ["a", "b"], windows, minimum))
-    pair_keys = pairs.select(F.col("items")[0].alias("a"), F.col("items")[1].alias("b"))
-    triples_in = pairs_in.join(pair_keys, ["a", "b"], "left_semi").select(
-        "a", "b", F.explode(longer(F.col("b"))).alias("c")
-    )
-    triples = _counted(triples_in, ["a", "b", "c"], windows, minimum)
+    counts = items.groupBy(F.col("item").alias("a")).agg(F.count("*").alias("found"))
+    singles = counts.select(F.array("a").alias("items"), "found", (F.col("found") / windows).alias("support"))
+    singles = singles.where(F.col("support") >= minimum)
+    frequent = items.join(singles.select(F.col("items")[0].alias("item")), "item", "left_semi")
+    maps = cut_lineage(_bitmaps(frequent, numbered))
+    one = lambda n: maps.select(F.col("item").alias(n), "chunk", F.col("words").alias("words_" + n))
+    twos = one("a").join(one("b"), "chunk").where(F.col("a") < F.col("b"))
+    pairs = cut_lineage(_counted(twos.select("a", "b", _both("words_a", "words_b").alias("words")), ["a", "b"], windows, minimum))
+    pair = lambda x, y: pairs.select(F.col("items")[0].alias(x), F.col("items")[1].alias(y))
+    candidates = pair("a", "b").join(pair("a", "c"), "a").where(F.col("b") < F.col("c")).join(pair("b", "c"), ["b", "c"], "left_semi")
+    threes = candidates.join(one("a"), "a").join(one("b"), ["b", "chunk"]).join(one("c"), ["c", "chunk"])
+    threes = threes.withColumn("words", _both("words_a", "words_b")).select("a", "b", "c", _both("words", "words_c").alias("words"))
+    triples = _counted(threes, ["a", "b", "c"], windows, minimum)
     found = singles.unionByName(pairs).unionByName(triples)
     return cut_lineage(found.withColumns({"size": F.size("items"), "windows_total": windows}))
 

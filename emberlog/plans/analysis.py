@@ -84,7 +84,7 @@ class _Prepared:
 
 
 def _prepare(logs: DataFrame, params: Params) -> _Prepared:
-    indexed = X.with_event_ids(X.clean(logs, params))
+    indexed = X.with_event_ids(logs, params)
     signatures = store(X.signatures(indexed))
     vectors = store(X.vectors(signatures))
     rows, top = vectors.agg(F.sum("weight"), F.max("tmpl_freq")).first()

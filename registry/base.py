@@ -48,7 +48,7 @@ def stand_in_score() -> dict:
 
 
 def _build_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed = X.with_event_ids(cleaned_table(spark, sf_dir))
+    indexed = X.with_event_ids(logs_table(spark, sf_dir))
     signatures = store(X.signatures(indexed))
     vectors = store(X.vectors(signatures))
     clusters = DensityModel(X.feature_vectors(vectors), DEFAULTS.eps, DEFAULTS.min_samples).clusters()

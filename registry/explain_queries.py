@@ -293,16 +293,18 @@ def event_context(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def _related(name: str, key: str):
     sql = from_events(
-        f"""SELECT s.event_id AS seed_id, r.rank, r.event_id FROM ev s JOIN (SELECT event_id, {key},
-        row_number() OVER (PARTITION BY {key} ORDER BY row_idx) AS rank FROM ev WHERE {key} IS NOT NULL) r USING ({key})
-        WHERE r.rank <= 100 AND s.status = 'ANOMALY'"""
+        f"""SELECT {key}, rank, event_id, status = 'ANOMALY' AS seed FROM (SELECT *, row_number() OVER (PARTITION BY {key} ORDER BY row_idx) AS rank,
+        count_if(status = 'ANOMALY') OVER (PARTITION BY {key}) AS seeds FROM ev WHERE {key} IS NOT NULL) WHERE seeds > 0"""
     )
 
     @query(name, sql)
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        """All events that share a value with an anomaly, in order, and which of them are anomalies."""
         events = scored_table(spark, sf_dir)
-        found = explain.related_events(events, events.where("status = 'ANOMALY'"), key, limit=100)  # as the SQL asks
-        return found.select("seed_id", F.col("rank").cast("long").alias("rank"), "event_id")
+        links, ranked = explain.related_by_key(events, events.where("status = 'ANOMALY'"), key)
+        seeds = links.select(F.col("seed_id").alias("event_id"), F.lit(True).alias("seed"))
+        found = ranked.select(key, F.col("rank").cast("long").alias("rank"), "event_id").join(seeds, "event_id", "left")
+        return found.select(key, "rank", "event_id", F.coalesce("seed", F.lit(False)).alias("seed"))
 
     return run
 

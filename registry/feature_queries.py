@@ -7,6 +7,7 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from emberlog import constants as K
 from emberlog.functions import scoring, text
 from emberlog.operators import evaluate, features as X
+from emberlog.operators.ordering import event_id, with_row_index
 from emberlog.operators.projection import covariance
 from registry.base import cleaned_table, frequency_table, scored_table, vector_table
 from registry.catalogue import query
@@ -89,7 +90,7 @@ def text_measures(spark: SparkSession, sf_dir: str) -> DataFrame:
 )
 def event_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
     slim = logs_table(spark, sf_dir).select("line_no", "timestamp")
-    return X.with_event_ids(slim).select("line_no", "event_id")
+    return with_row_index(slim, "timestamp", "line_no").select("line_no", event_id().alias("event_id"))
 
 
 @query("frequencies", from_freq("SELECT line_no, tmpl_freq, svc_freq, burst FROM freq"))
@@ -164,25 +165,19 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
-def _top_services_sql(limit: int) -> str:
-    return f"(SELECT list(service) FROM (SELECT service FROM clean GROUP BY service ORDER BY count(*) DESC, service LIMIT {limit}))"
-
-
 @query(
     "classifier_matrix",
     from_freq(
         f"""SELECT line_no, hour, message_length, len(regexp_split_to_array(message, '\\s+')) AS token_count,
         round(length(regexp_replace(message, '[^0-9]', '', 'g')) / greatest(length(message), 1), 6) + 0.0 AS digit_ratio,
         round(ln(1 + tmpl_freq), 6) AS log_template_freq, round(ln(1 + svc_freq), 6) AS log_service_freq,
-        round(ln(1 + burst), 6) AS log_burst, event_class AS flagged_class,
-        CASE WHEN list_contains({_top_services_sql(12)}, service) THEN service ELSE '' END AS flagged_service FROM freq"""
+        round(ln(1 + burst), 6) AS log_burst, event_class AS flagged_class, service FROM freq"""
     ),
 )
 def classifier_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supervised matrix; its one-hot blocks are shown as the flagged name."""
+    """The supervised matrix: its class flags are shown as the flagged name, all services are one category."""
     rows = X.with_text_measures(frequency_table(spark, sf_dir))
-    services = evaluate.top_services(cleaned_table(spark, sf_dir), 12)  # as the SQL asks
-    matrix = evaluate.tree_matrix(rows, services)
+    matrix = evaluate.tree_matrix(rows, [])
 
     def flagged(prefix: str, names):
         case = F
@@ -193,8 +188,7 @@ def classifier_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric = ("digit_ratio", "log_template_freq", "log_service_freq", "log_burst")
     return matrix.select(
         "line_no", "hour", "message_length", "token_count", *[six(F.col(c)).alias(c) for c in numeric],
-        flagged("evt_", K.EVENT_CLASSES).alias("flagged_class"),
-        flagged("svc_", services).alias("flagged_service"),
+        flagged("evt_", K.EVENT_CLASSES).alias("flagged_class"), "service",
     )
 
 

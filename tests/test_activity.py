@@ -1,5 +1,7 @@
 from __future__ import annotations
 
+import itertools
+import random
 from datetime import datetime, timedelta
 
 import numpy as np
@@ -153,3 +155,23 @@ def test_missing_facts_are_called_unknown(spark):
     )
     facts = row.select(summaries.event_facts()).first()[0]
     assert "Timestamp: unknown\nService: unknown\nEvent class: OTHER" in facts and "Risk score: unknown/1.00" in facts
+
+
+@pytest.mark.parametrize("words", [1, 64])
+def test_item_sets_match_a_scan(spark, monkeypatch, words):
+    """Many windows, so that bitmaps have several words and, if short, several chunks."""
+    rng = random.Random(words)
+    names = [f"i{k}" for k in range(9)]
+    baskets = {w: {n for k, n in enumerate(names) if rng.random() < 0.1 * (k + 1)} for w in range(400)}
+    baskets = {w: b for w, b in baskets.items() if b}
+    monkeypatch.setattr(patterns, "CHUNK_WORDS", words)
+    items = spark.createDataFrame([(w * 300 - 9000, n) for w, b in baskets.items() for n in b], "win long, item string")
+    found = patterns.frequent_itemsets(items, DEFAULTS.with_(min_support=0.2)).collect()
+    want = {}
+    for size in (1, 2, 3):
+        for s in itertools.combinations(names, size):
+            n = sum(set(s) <= b for b in baskets.values())
+            if n / len(baskets) >= 0.2:
+                want[s] = n
+    assert {tuple(r["items"]): r["found"] for r in found} == want
+    assert {len(s) for s in want} == {1, 2, 3} and {r["windows_total"] for r in found} == {len(baskets)}
