@@ -5,25 +5,26 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import constants as K
+from emberlog.sources.split_csv import read_split_csv
 from emberlog.sources.text_logs import REPLACEMENT, require_rows, resolve_timestamps
 
 
 def read_csv_rows(spark: SparkSession, path, multi_line: bool = False) -> DataFrame:
     """Every column as text, cells that mean "no value" as null.
 
-    Large files are split; ``multi_line=True`` reads line breaks inside cells, one task a file.
+    Large files are split.  ``multi_line=True`` reads line breaks inside cells, in splits too; ``line_no`` is then
+    the number of the record whatever the splits.
     """
-    rows = (
-        spark.read.option("header", True)
-        .option("multiLine", multi_line)
-        .option("escape", '"')
-        .csv(path)
-    )
+    if multi_line:
+        rows = read_split_csv(spark, path)
+    else:
+        rows = spark.read.option("header", True).option("escape", '"').csv(path)
+        rows = rows.withColumn("line_no", F.monotonically_increasing_id())
     cells = []
-    for name in rows.columns:
+    for name in rows.columns[:-1]:
         text = F.translate(F.col(f"`{name}`"), REPLACEMENT, "")
         cells.append(F.when(~text.isin(*K.CSV_NULL_TEXTS), text).alias(name))
-    return rows.select(*cells, F.monotonically_increasing_id().alias("line_no"))
+    return rows.select(*cells, "line_no")
 
 
 def map_headers(names) -> dict[str, str]:

@@ -13,6 +13,8 @@ from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberlog import constants as K
 from emberlog.functions.text import FLAGS, WHITESPACE
+from emberlog.sources.positions import numbered_lines
+from emberlog.sources.time_shapes import lenient_timestamps
 
 REPLACEMENT = "\ufffd"  # what the reader puts in place of bytes that are not UTF-8
 LOG_COLUMNS = ("line_no", "timestamp", "hostname", "service", "pid", "message")
@@ -32,12 +34,16 @@ OTHER_TIME_FORMATS = (
 WEEKDAY = r"^(?:Mon|Tue|Wed|Thu|Fri|Sat|Sun),? "
 
 
-def read_text_lines(spark: SparkSession, path) -> DataFrame:
-    """One row per line; bytes that are not UTF-8 are dropped from the text."""
-    return spark.read.text(path).select(
-        F.monotonically_increasing_id().alias("line_no"),
-        F.translate(F.col("value"), REPLACEMENT, "").alias("value"),
-    )
+def read_text_lines(spark: SparkSession, path, stable: bool = False) -> DataFrame:
+    """One row per line; bytes that are not UTF-8 are dropped from the text.
+
+    ``line_no`` ascends in each file; with ``stable`` it counts lines, whatever the splits.
+    """
+    if stable:
+        lines = numbered_lines(spark, path)
+    else:
+        lines = spark.read.text(path).withColumn("line_no", F.monotonically_increasing_id())
+    return lines.select("line_no", F.translate(F.col("value"), REPLACEMENT, "").alias("value"))
 
 
 def parse_lines(lines: DataFrame) -> DataFrame:
@@ -92,7 +98,10 @@ def resolve_timestamps(rows: DataFrame, mode: str = "per_row", assume_year: int
                    it; then every row goes through the flexible formats
     ``per_row``    each row takes whichever format parses
     ``classic`` / ``iso``  one format, no second look at the data
+    ``lenient``    each row takes the format inferred for the shape of its text
     """
+    if mode == "lenient":
+        return lenient_timestamps(rows, assume_year=assume_year)
     text = F.regexp_replace(F.col("time_text"), FLAGS + r"\s+", " ")
     classic, flexible = classic_time(text, assume_year), flexible_time(text)
     if mode == "classic":
@@ -155,10 +164,10 @@ def source_size_kb(spark: SparkSession, path) -> DataFrame:
 
 
 def read_text_logs(
-    spark: SparkSession, path, mode: str = "per_row", assume_year: int = 1900, strict: bool = False
+    spark: SparkSession, path, mode: str = "per_row", assume_year: int = 1900, strict: bool = False, stable: bool = False
 ) -> DataFrame:
     """Files or folders of syslog text -> canonical log rows."""
-    rows = resolve_timestamps(parse_lines(read_text_lines(spark, path)), mode, assume_year)
+    rows = resolve_timestamps(parse_lines(read_text_lines(spark, path, stable)), mode, assume_year)
     if strict:
         require_rows(rows)
     return to_logs(rows)

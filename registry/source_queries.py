@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog.operators import features as X
 from emberlog.sources import csv_logs, sinks, text_logs
+from emberlog.session import ensure_checkpoint_dir
 from emberlog.sources.text_logs import parse_lines, resolve_timestamps
 from registry.base import scored_table
 from registry.catalogue import query
@@ -200,6 +203,56 @@ def csv_alias_mapping(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+@query(
+    "csv_files",
+    from_logs(
+        """SELECT strftime(event_time, '%Y-%m-%d %H:%M:%S') AS time_text, hostname, service,
+        CASE line_no % 3 WHEN 0 THEN message WHEN 1 THEN '"' || message || '",' || chr(10) || chr(10) || 'line ' || line_no
+          ELSE message || chr(10) || '"' END AS message, raw_event_type FROM csvrows""",
+        _CSV,
+    ),
+)
+def csv_files(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """CSV files on disk, with quotes and line breaks in cells, read in splits."""
+    n = F.col("line_no") % 3
+    quoted = F.concat(F.lit('"'), "Msg", F.lit('",\n\nline '), F.col("line_no").cast("string"))
+    message = F.when(n == 0, F.col("Msg")).when(n == 1, quoted).otherwise(F.concat("Msg", F.lit('\n"')))
+    rows = _csv_rows(spark, sf_dir).withColumn("Msg", message).drop("line_no")
+    folder = f"{ensure_checkpoint_dir(spark)}/tables/{uuid.uuid4().hex}"
+    rows.write.option("header", True).option("escape", '"').option("ignoreTrailingWhiteSpace", False).csv(folder)
+    found = csv_logs.read_csv_logs(spark, folder, multi_line=True)
+    return found.select(F.date_format("timestamp", TIME).alias("time_text"), "hostname", "service", "message", "raw_event_type")
+
+
+#: Spellings of the same moment; the first number of the sixth is a day whenever it is over 12.
+_SPELLINGS = (
+    "MMM d HH:mm:ss", "yyyy-MM-dd'T'HH:mm:ss.SSS'Z'", "dd.MM.yyyy HH:mm:ss", "MMMM d, yyyy h:mm:ss a", "EEE, d MMM yyyy HH:mm:ss 'GMT'",
+    "d/M/yyyy HH:mm", "dd/MMM/yyyy:HH:mm:ss '+0000'", "yyyyMMdd HHmmss", "yyyy/MM/dd, h:mm a", "EEE MMM d HH:mm:ss 'UTC' yyyy", "'at' HH:mm:ss", "yyyy-MM-dd",
+)
+
+
+@query(
+    "timestamps_lenient",
+    from_logs(
+        """SELECT line_no, strftime(CASE line_no % 12 WHEN 0 THEN event_time - to_years(CAST(year(event_time) - 1900 AS INT))
+          WHEN 2 THEN CASE WHEN day(event_time) > 12 THEN event_time ELSE make_timestamp(year(event_time), day(event_time), month(event_time), hour(event_time), minute(event_time), second(event_time)) END
+          WHEN 5 THEN CASE WHEN day(event_time) > 12 THEN date_trunc('minute', event_time)
+            ELSE make_timestamp(year(event_time), day(event_time), month(event_time), hour(event_time), minute(event_time), 0.0) END
+          WHEN 8 THEN date_trunc('minute', event_time) WHEN 10 THEN NULL WHEN 11 THEN date_trunc('day', event_time)
+          ELSE event_time END, '%Y-%m-%d %H:%M:%S') AS time_text FROM logs
+        WHERE NOT (line_no % 12 = 0 AND month(event_time) = 2 AND day(event_time) = 29)"""
+    ),
+)
+def timestamps_lenient(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Twelve spellings in one input, each understood by its shape."""
+    spelt = F
+    for k, pattern in enumerate(_SPELLINGS):
+        spelt = spelt.when(F.col("line_no") % len(_SPELLINGS) == k, F.date_format("timestamp", pattern))
+    rows = logs_table(spark, sf_dir).select("line_no", spelt.alias("time_text"), (F.date_format("timestamp", "MMdd") == "0229").alias("leap"))
+    found = resolve_timestamps(rows, "lenient").where(~(F.col("leap") & (F.col("line_no") % len(_SPELLINGS) == 0)))
+    return found.select("line_no", F.date_format("timestamp", TIME).alias("time_text"))
+
+
 @query(
     "csv_level_classes",
     from_logs("SELECT line_no, event_class FROM clean", _CSV, clean_ctes("csvrows", "upper(COALESCE(raw_event_type, ''))")),

@@ -1,10 +1,14 @@
 from __future__ import annotations
 
+import csv
+import random
+
 import pytest
 from pyspark.sql import functions as F
 
 from emberlog.operators.features import clean
-from emberlog.sources import csv_logs, sinks, text_logs
+from emberlog.sources import csv_logs, logs as log_files, sinks, text_logs, time_shapes
+from emberlog.sources.split_csv import read_split_csv
 
 LINES = [
     "Jun  9 06:06:20 combo sshd(pam_unix)[123]: authentication failure; ruser= rhost=1.2.3.4 user=root",
@@ -146,3 +150,75 @@ def test_source_size(spark, text_file):
 
     shown = text_logs.source_size_kb(spark, text_file).first()[0]
     assert shown == round(os.path.getsize(text_file) / 1024, 2)
+
+
+CELLS = ["plain", "with, comma", 'a "quoted" word', "two\nlines", "\n\n", '"', '"\n"', "", "é😀", "long " * 300, "crlf\r\nin a cell", "x\n" * 200]
+
+
+@pytest.mark.parametrize("size", [120, 2000, 1 << 20])
+def test_csv_over_many_splits(spark, tmp_path, size):
+    """Records are whole wherever the files are split."""
+    rng, written = random.Random(size), {}
+    for name in ("b", "a", "c"):
+        with open(tmp_path / f"{name}.csv", "w", newline="", encoding="utf-8") as out:
+            writer = csv.writer(out, lineterminator="\r\n" if name == "a" else "\n")
+            writer.writerow(["Time", "Message", "Host name"])
+            written[name] = [[f"{name}{k}", rng.choice(CELLS), rng.choice(CELLS[:4])] for k in range(40)]
+            writer.writerows(written[name])
+    held = spark.conf.get("spark.sql.files.maxPartitionBytes"), spark.conf.get("spark.sql.files.openCostInBytes")
+    spark.conf.set("spark.sql.files.maxPartitionBytes", size)
+    spark.conf.set("spark.sql.files.openCostInBytes", 1)
+    try:
+        found = read_split_csv(spark, str(tmp_path)).orderBy("line_no").collect()
+    finally:
+        spark.conf.set("spark.sql.files.maxPartitionBytes", held[0])
+        spark.conf.set("spark.sql.files.openCostInBytes", held[1])
+    cells = [[c or None for c in row] for name in "abc" for row in written[name]]  # in the order of the files
+    assert [list(r)[:-1] for r in found] == cells
+    assert [r.line_no for r in found] == [41 * f + k + 1 for f in range(3) for k in range(40)]
+
+
+@pytest.fixture
+def small_splits(spark):
+    names = ("spark.sql.files.maxPartitionBytes", "spark.sql.files.openCostInBytes")
+    held = [spark.conf.get(n) for n in names]
+    spark.conf.set(names[1], 1)
+    yield lambda size: spark.conf.set(names[0], size)
+    for n, v in zip(names, held):
+        spark.conf.set(n, v)
+
+
+def test_one_reader_for_all_files(spark, tmp_path, small_splits):
+    """Positions and rows are the same under three split sizes."""
+    for name in ("b.log", "a.log"):
+        (tmp_path / name).write_text("".join(f"Jun  9 06:{k % 60:02}:20 {name} sshd[{k}]: line {k}\n" for k in range(50)))
+    (tmp_path / "c.csv").write_text('Date,Message,Host\n2026-01-02 03:04:05,"two\nlines",h\n2026-01-02 03:04:06,plain,h\n')
+    seen = []
+    for size in (200, 900, 1 << 20):
+        small_splits(size)
+        rows = log_files.read_logs(spark, str(tmp_path)).orderBy("line_no").select("line_no", "hostname", "message").collect()
+        seen.append([tuple(r) for r in rows])
+    assert seen[0] == seen[1] == seen[2]
+    assert seen[0][:50] == [(k, "a.log", f"line {k}") for k in range(50)]
+    assert [r[2] for r in seen[0][100:]] == ["two\nlines", "plain"]
+    report = {r.file_type: (r.files, r.columns) for r in log_files.source_report(spark, str(tmp_path)).collect()}
+    assert report["text"][0] == 2 and report["csv"] == (1, ["hostname", "message", "timestamp"])
+
+
+TIMES = [
+    ("Jun  9 06:06:20", "1900-06-09 06:06:20"), ("2026-09-10T00:07:00.123456789Z", "2026-09-10 00:07:00"),
+    ("2026-09-10 00:07:00+02:00", "2026-09-09 22:07:00"), ("2026-09-10 00:07:00.5 -0130", "2026-09-10 01:37:00"),
+    ("Thursday, 10 Sep 2026 1:07:09 pm", "2026-09-10 13:07:09"), ("10.9.2026", "2026-10-09 00:00:00"), ("13.9.2026 5:06", "2026-09-13 05:06:00"),
+    ("09/13/2026, 12:05 AM", "2026-09-13 00:05:00"), ("10/Oct/2026:13:55:36 -0700", "2026-10-10 20:55:36"), ("20260910 010203", "2026-09-10 01:02:03"),
+    ("Sep 10 01:02:03 2026", "2026-09-10 01:02:03"), ("Thu Sep 10 01:02:03 UTC 2026", "2026-09-10 01:02:03"), ("September 10, 2026", "2026-09-10 00:00:00"),
+    ("2026/9/10 7 PM", "2026-09-10 19:00:00"), ("2026-02-30 01:02:03", None), ("13/13/2026", None), ("yesterday", None), ("", None), (None, None),
+    ("12345", None), ("2026-9-10 25:00:00", None), ("Mon 9", None), ("10 Sep 2026 01:02:03", "2026-09-10 01:02:03"), ("2026-Sep-10 01:02", "2026-09-10 01:02:00"),
+]
+
+
+def test_lenient_times(spark):
+    rows = spark.createDataFrame([(k, t, "x") for k, (t, _) in enumerate(TIMES)], "line_no long, time_text string, other string")
+    found = time_shapes.lenient_timestamps(rows).orderBy("line_no")
+    assert found.columns == ["line_no", "time_text", "other", "timestamp"]
+    got = [(r.time_text, r.t) for r in found.select("time_text", F.date_format("timestamp", "yyyy-MM-dd HH:mm:ss").alias("t")).collect()]
+    assert got == TIMES
