@@ -1,9 +1,11 @@
 """Token counts without token ids.
 
-Words are counted over the corpus, the tokenizer sees every distinct word once,
-and documents sum the piece counts of their word frequencies.  A word is a
-maximal run without white space: the tokenizer's rules turn any white space
-into a break, so no piece ever spans two words.
+Pre-tokens are counted over the corpus, the tokenizer sees every distinct one
+once, and documents sum the piece counts of their pre-token frequencies.  The
+tokenizer's rules turn white space into breaks, make letters small, and split
+words into contractions, runs of letters, single digits and runs of marks.
+Words of characters for which these rules are plain are split likewise;
+any other word, and one that may hold a special token, is a unit of its own.
 """
 
 from __future__ import annotations
@@ -12,18 +14,21 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
-from itertools import repeat
 
 import pyarrow as pa
 from pyspark.sql import DataFrame, functions as F
 
 from emberlog.llm.common import small_batches, stored
 
-#: Most frequent words whose counts travel to every task, and their longest form: at most 16 MB.
-HOT_WORDS = 65_536
-HOT_LENGTH = 64
+#: Most frequent units whose counts travel to every task, and their longest form: at most 32 MB.
+HOT_WORDS = 131_072
+HOT_LENGTH = 32
 
 _FLUSH = 200_000
+_MEMO = 200_000
+#: Unchanged by composition, small by one character, and letter, digit or mark in every version of Unicode.
+_PLAIN = re.compile("[\x21-\x7e\xa1-\xac\xae-\xb1\xb4-\xb8\xba\xbb\xbf-\u012f\u0131-\u024f]+")
+_UNIT = re.compile(r"'(?:s|t|re|ve|m|ll|d)|[^\W\d_]+|\d|(?:\W|_)+")
 #: str.split() also breaks at these, the tokenizers' rules do not.
 _SEPARATORS = re.compile("[\x1c-\x1f]")
 _PLAIN_BREAKS = re.compile("[ \t\n\r]+")
@@ -35,6 +40,13 @@ def words_of(text: str) -> list[str]:
     return text.split()
 
 
+def units_of(word: str) -> list[str]:
+    """Pre-tokens of a word; pieces never span two of them."""
+    if "<|" in word or not _PLAIN.fullmatch(word):
+        return [word]
+    return _UNIT.findall(word.lower())
+
+
 @lru_cache(maxsize=4)
 def _tokenizer(path: str):
     from tokenizers import Tokenizer
@@ -43,24 +55,27 @@ def _tokenizer(path: str):
 
 
 def _vocabulary(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    seen: Counter[str] = Counter()
+    words: Counter[str] = Counter()
 
     def flush():
-        out = pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
-        seen.clear()
-        return out
+        seen: Counter[str] = Counter()
+        for word, n in words.items():
+            for unit in units_of(word):
+                seen[unit] += n
+        words.clear()
+        return pa.record_batch([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], ["word", "n"])
 
     for batch in batches:
         for text in batch.column(0).to_pylist():
-            seen.update(words_of(text))
-            if len(seen) > _FLUSH:
+            words.update(words_of(text))
+            if len(words) > _FLUSH:
                 yield flush()
-    if seen:
+    if words:
         yield flush()
 
 
 def word_pieces(docs: DataFrame, tokenizer_path: str) -> DataFrame:
-    """``(word, n, pieces)``: how often each distinct word occurs and its number of pieces."""
+    """``(word, n, pieces)``: how often each distinct unit occurs and its number of pieces."""
 
     def count(batches):
         tokenizer = _tokenizer(tokenizer_path)
@@ -79,7 +94,7 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     A null text counts as empty (0, 0).  Repeated rows and null ids each give
     their own row; other columns are ignored; an empty table gives no row.
-    The ``HOT_WORDS`` most frequent words are summed where the text is read;
+    The ``HOT_WORDS`` most frequent units are summed where the text is read;
     all others are joined, so the join has no heavy key.
     """
     spark = docs.sparkSession
@@ -90,13 +105,27 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
 
     def frequencies(batches):
         known = hot.value
+        memo: dict[str, tuple[int, list[str]]] = {}  # pieces of the hot units of a word, and its other units
+
+        def parts(word):
+            units = units_of(word)
+            found = sum(known.get(u, 0) for u in units), [u for u in units if u not in known]
+            if len(memo) >= _MEMO:
+                memo.clear()
+            memo[word] = found
+            return found
+
         for batch in batches:
             sizes, sums, offsets, rest, times = [], [], [0], [], []
             for text in batch.column("text").to_pylist():
                 text = text or ""
-                words = words_of(text)
-                sums.append(sum(map(known.get, words, repeat(0))))
-                rare = Counter(w for w in words if w not in known)
+                total, rare = 0, Counter()
+                for word, n in Counter(words_of(text)).items():
+                    pieces_hot, others = memo.get(word) or parts(word)
+                    total += n * pieces_hot
+                    for unit in others:
+                        rare[unit] += n
+                sums.append(total)
                 rest += rare.keys()
                 times += rare.values()
                 offsets.append(len(rest))
@@ -115,14 +144,8 @@ def count_tokens(docs: DataFrame, tokenizer_path: str) -> DataFrame:
     id_type = docs.schema["doc_id"].dataType.simpleString()
     schema = f"doc_id {id_type}, n_bytes long, summed long, rest array<struct<word:string,n:long>>"
     counted = docs.select("doc_id", "text").mapInArrow(frequencies, schema)
-    rows = counted.withColumn("row", F.monotonically_increasing_id()).select(
-        "row", "doc_id", "n_bytes", "summed", F.explode_outer("rest").alias("rare")
-    )
-    joined = rows.select("row", "doc_id", "n_bytes", "summed", "rare.word", F.col("rare.n").alias("times")).join(
-        pieces.select("word", "pieces"), "word", "left"
-    )
-    return (
-        joined.groupBy("row", "doc_id", "n_bytes", "summed")
-        .agg(F.coalesce(F.sum(F.col("times") * F.col("pieces")), F.lit(0)).alias("more"))
-        .select("doc_id", "n_bytes", (F.col("summed") + F.col("more")).alias("n_tokens"))
-    )
+    rows = stored(counted.withColumn("row", F.monotonically_increasing_id()))
+    rare = rows.select("row", F.explode("rest").alias("rare")).select("row", "rare.word", F.col("rare.n").alias("times"))
+    more = rare.join(pieces.select("word", "pieces"), "word").groupBy("row").agg(F.sum(F.col("times") * F.col("pieces")).alias("more"))
+    full = rows.select("row", "doc_id", "n_bytes", "summed").join(more, "row", "left")
+    return full.select("doc_id", "n_bytes", (F.col("summed") + F.coalesce("more", F.lit(0))).alias("n_tokens"))

@@ -39,6 +39,24 @@ def test_token_counts_match_the_library(spark, texts):
     assert token_counts.count_tokens(texts.limit(0), queries.WORD_BPE).count() == 0
 
 
+def test_units_add_up_to_the_words():
+    """Units of a word, encoded one by one, have as many pieces as the word."""
+    import random
+
+    from tokenizers import Tokenizer
+
+    from emberlog.llm import queries, token_counts
+
+    tokenizer = Tokenizer.from_file(queries.WORD_BPE)
+    count = lambda t: len(tokenizer.encode(t, add_special_tokens=False).ids)
+    rng = random.Random(11)
+    some = ["'s", "'LL", "''", "don't", "ABC", "é", "É", "e\u0301", "ñ", "²", "¼", "ª", "µ", "ß", "İ", "ı", "7", "42", "_", "--", ".", "<|endoftext|>", "<|", "中", "ǅ", "\u00ad", "ŉ", "×", "ÿ", "Я"]
+    words = ["".join(rng.choice(some) for _ in range(rng.randint(1, 6))) for _ in range(20000)]
+    words += [chr(c) + x + chr(c) for c in range(33, 0x260) if not chr(c).isspace() for x in ("", "a", "'s", ".")]
+    assert [w for w in words if sum(map(count, token_counts.units_of(w))) != count(w)] == []
+    assert token_counts.units_of("Don't,42") == ["don", "'t", ",", "4", "2"]
+
+
 def test_token_counts_without_hot_words(spark, texts, monkeypatch):
     from emberlog.llm import queries, token_counts
 
