@@ -186,3 +186,49 @@ def test_shared_lines_are_a_longest_common_subsequence():
     assert shared_with([1, 2, 3, 4], [1, 9, 3, 4]) == [True, False, True, True]
     assert sum(shared_with([5, 1, 2, 6, 3], [1, 7, 2, 3, 5])) == 3
     assert shared_with([], [1]) == []
+
+
+@pytest.mark.parametrize(
+    "html,want",
+    [
+        ('<div class="layout no-sidebar"><article><p>one</p></article></div>', ["one"]),
+        ('<article><div class="post-header"><h1>Title</h1></div><p>one <span class="share">two</span></p></article>', ["Title", "one two"]),
+        ('<div class="sidebar"><article>one</article></div><p>menu</p>', ["one"]),
+        ('<div class="sidebar"><article>related</article></div><article>one</article>', ["one"]),
+        ('<article>one<div class="comments"><article>reply</article></div></article>', ["one"]),
+        ('<article>one<div class="cookie-banner">no</div><i hidden>no</i></article>', ["one"]),
+        ("<aside><article>no</article></aside><article>one</article></p></div>", ["one"]),
+    ],
+)
+def test_articles_stay_whole(html, want):
+    from emberlog.llm.html_text import lines_of
+
+    texts, inside = lines_of(html)
+    assert [t for t, i in zip(texts, inside) if i] == want
+
+
+def test_unmatched_end_tags_take_no_time():
+    import time
+
+    from emberlog.llm.html_text import lines_of
+
+    start = time.process_time()
+    texts, _ = lines_of("<div>" * 100_000 + "one" + "</p>" * 100_000)
+    assert texts == ["one"] and time.process_time() - start < 10
+
+
+def test_shared_lines_match_the_quadratic_table():
+    import random
+
+    from emberlog.llm.html_text import shared_with
+
+    rng = random.Random(2)
+    for _ in range(200):
+        a, b = ([rng.randint(0, 6) for _ in range(rng.randint(0, 25))] for _ in range(2))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        found = [x for x, s in zip(a, shared_with(a, b)) if s]
+        rest = iter(b)
+        assert len(found) == table[-1][-1] and all(x in rest for x in found)
