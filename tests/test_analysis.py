@@ -16,8 +16,13 @@ def test_kpis_are_consistent(result, logs):
     assert k["high_risk"] <= k["anomalies"]
 
 
+def test_density_is_derived_on_request(logs):
+    derived = analyze(logs, DEFAULTS.with_(density="derived"))
+    assert derived.auto_params and derived.min_samples_used == 10 and derived.eps_used != DEFAULTS.eps
+
+
 def test_detector_contract(result):
-    assert result.auto_params and result.min_samples_used == 10
+    assert not result.auto_params and result.min_samples_used == 10
     assert {r[0] for r in result.events.select("model_pred").distinct().collect()} <= {0, 1}
     stages = stage_counts(result.scored).first()
     assert stages["input_rows"] == result.rows
