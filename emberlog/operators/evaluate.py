@@ -16,13 +16,15 @@ def _ratio(top, bottom):
     return F.when(bottom > 0, top / bottom).otherwise(F.lit(0.0))
 
 
-def classification_report(rows: DataFrame, truth: str, predicted: str) -> DataFrame:
-    """At most one row: counts, accuracy, precision, recall, F1 and the 2x2 counts.
+def classification_report(
+    rows: DataFrame, truth: str, predicted: str, both_classes: bool = True, by: tuple[str, ...] = ()
+) -> DataFrame:
+    """One row, or one per value of ``by``: counts, accuracy, precision, recall, F1 and the 2x2 counts.
 
-    Rows without a label are left out; empty unless both classes occur.
+    Rows without a label are left out; no row without labels or, unless ``both_classes`` is false, without both classes.
     """
     t, p = F.col(truth), F.col(predicted).cast("int")
-    counted = rows.where(t.isNotNull()).agg(
+    counted = rows.where(t.isNotNull()).groupBy(*by).agg(
         F.count("*").alias("n"),
         F.count_if(t == 1).alias("positives"),
         F.count_if((t == 0) & (p == 0)).alias("tn"),
@@ -31,7 +33,8 @@ def classification_report(rows: DataFrame, truth: str, predicted: str) -> DataFr
         F.count_if((t == 1) & (p == 1)).alias("tp"),
     )
     tp, fp, fn = F.col("tp"), F.col("fp"), F.col("fn")
-    return counted.where("n >= 2 AND positives > 0 AND positives < n").withColumns(
+    wanted = "n >= 2 AND positives > 0 AND positives < n" if both_classes else "n > 0"
+    return counted.where(wanted).withColumns(
         {
             "accuracy": _ratio(tp + F.col("tn"), F.col("n")),
             "precision": _ratio(tp, tp + fp),

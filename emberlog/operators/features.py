@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame, functions as F
 
 from emberlog import constants as K
 from emberlog.functions import text, timing
+from emberlog.operators.meter import Meter
 from emberlog.operators.ordering import event_id, with_row_index
 from emberlog.operators.skew import attach_by_key
 from emberlog.params import DEFAULTS, Params
@@ -57,13 +58,19 @@ def clean(logs: DataFrame, params: Params = DEFAULTS) -> DataFrame:
     )
 
 
-def with_event_ids(logs: DataFrame, params: Params = DEFAULTS) -> DataFrame:
+def with_event_ids(logs: DataFrame, params: Params = DEFAULTS, meter: Meter | None = None) -> DataFrame:
     """Clean rows with their dense position in time order (input order breaks ties) and the id built on it.
 
     Raw rows are put in order; they are cleaned where the ordered table is
-    written, so every pattern runs once a row.
+    written, so every pattern runs once a row.  A ``meter`` counts rows before and after cleaning in that pass.
     """
-    indexed = with_row_index(logs, "timestamp", "line_no", keep=lambda ordered: store(clean(ordered, params)))
+    watch = (lambda df, **metrics: df) if meter is None else meter.watch
+
+    def cleaned(ordered: DataFrame) -> DataFrame:
+        counted = watch(ordered, input_rows=F.count(F.lit(1)))
+        return store(watch(clean(counted, params), cleaned_rows=F.count(F.lit(1))))
+
+    indexed = with_row_index(logs, "timestamp", "line_no", keep=cleaned)
     return indexed.withColumn("event_id", event_id())
 
 

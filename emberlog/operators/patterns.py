@@ -168,18 +168,23 @@ def rule_report(rules: DataFrame, limit: int | None = None) -> DataFrame:
 
 
 def cluster_summary(events: DataFrame) -> DataFrame:
-    """Size, modal service and class, mean length and share per cluster."""
+    """Size, modal service and class, mean length and share per cluster, from one pass over the events."""
     key = "dbscan_cluster"
-    total = events.agg(F.count("*").alias("n")).scalar()
+    counted = cut_lineage(
+        events.groupBy(key, "service", "event_class").agg(
+            F.count("*").alias("n"), F.sum("message_length").alias("length")
+        )
+    )
+    total = counted.agg(F.sum("n").alias("n")).scalar()
 
     def modal(column: str, name: str) -> DataFrame:
         # ties go to the name that comes first
-        counts = events.groupBy(key, column).agg(F.count("*").alias("c"))
+        counts = counted.groupBy(key, column).agg(F.sum("n").alias("c"))
         best = F.min_by(column, F.struct(-F.col("c"), column))
         return counts.groupBy(key).agg(best.alias(name))
 
-    base = events.groupBy(key).agg(
-        F.count("*").alias("size"), F.avg("message_length").alias("avg_length")
+    base = counted.groupBy(key).agg(
+        F.sum("n").alias("size"), (F.sum("length") / F.sum("n")).alias("avg_length")
     )
     label = F.when(F.col(key) == -1, F.lit("Noise (anomalous)")).otherwise(
         F.concat(F.lit("Cluster "), F.col(key).cast("string"))

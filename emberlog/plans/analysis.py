@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from dataclasses import dataclass, replace
+from dataclasses import dataclass, field, replace
 from functools import cached_property
 
 from pyspark.sql import DataFrame, SparkSession, functions as F
@@ -12,6 +12,7 @@ from emberlog.functions import scoring
 from emberlog.operators import features as X
 from emberlog.operators.dbscan import DensityModel
 from emberlog.operators.forest import Forest, fit_forest, scale_scores
+from emberlog.operators.meter import Meter
 from emberlog.operators.neighbours import density_parameters
 from emberlog.params import DEFAULTS, Params
 from emberlog.session import cut_lineage, store
@@ -45,6 +46,16 @@ def score_events(detected: DataFrame, max_template, params: Params = DEFAULTS) -
     return flagged.withColumn("severity", scoring.severity())
 
 
+def verdict_counts() -> dict:
+    """Metrics of an event table."""
+    noise, forest = F.col("dbscan_noise"), F.col("iforest_noise")
+    return {
+        "dbscan_noise": F.count_if(noise),
+        "isolation_forest_anomalies": F.count_if(forest),
+        "ensemble_anomalies": F.count_if(noise | forest),
+    }
+
+
 @dataclass
 class Analysis:
     """Lazy result tables of one run plus the facts fixed while fitting."""
@@ -59,6 +70,7 @@ class Analysis:
     vectors: DataFrame
     scored: DataFrame  # every event with all derived columns and its position ``row_idx``
     max_template: int
+    meter: Meter = field(default_factory=Meter)  # counts of the stages that have run
 
     @cached_property
     def events(self) -> DataFrame:
@@ -70,8 +82,21 @@ class Analysis:
         return self.events.where(F.col("status") == "ANOMALY")
 
     def materialised(self) -> "Analysis":
-        """The same run with the event table written out, for many queries on it."""
-        return replace(self, scored=store(self.scored))
+        """The same run with the event table written out, for many queries on it; verdicts are counted on the way."""
+        return replace(self, scored=store(self.meter.watch(self.scored, **verdict_counts())))
+
+
+@dataclass(frozen=True)
+class FittedRun:
+    """What scoring new logs needs of a run; ``plans.runs`` stores and loads it."""
+
+    params: Params
+    rows: int
+    eps_used: float
+    min_samples_used: int
+    moments: dict
+    forest: Forest
+    max_template: int
 
 
 @dataclass
@@ -81,16 +106,21 @@ class _Prepared:
     vectors: DataFrame
     rows: int
     max_template: int
+    meter: Meter
 
 
 def _prepare(logs: DataFrame, params: Params) -> _Prepared:
-    indexed = X.with_event_ids(logs, params)
+    meter = Meter()
+    indexed = X.with_event_ids(logs, params, meter)
     signatures = store(X.signatures(indexed))
     vectors = store(X.vectors(signatures))
-    rows, top = vectors.agg(F.sum("weight"), F.max("tmpl_freq")).first()
+    rows, top, services, classes = signatures.agg(
+        F.sum("n"), F.max("tmpl_freq"), F.countDistinct("service"), F.countDistinct("event_class")
+    ).first()
     if not rows:
         raise ValueError("the input holds no events")
-    return _Prepared(indexed, signatures, vectors, int(rows), int(top))
+    meter.note(services=services, event_classes=classes, model_features=len(X.FEATURES))
+    return _Prepared(indexed, signatures, vectors, int(rows), int(top), meter)
 
 
 def _attach(prepared: _Prepared, verdicts: DataFrame) -> DataFrame:
@@ -116,6 +146,8 @@ def analyze(logs: DataFrame, params: Params = DEFAULTS) -> Analysis:
         clusters = DensityModel(points, eps, samples).clusters()
         points = points.join(clusters.select(*X.VECTOR_KEY, "dbscan_cluster"), X.VECTOR_KEY)
         verdict_columns.append("dbscan_cluster")
+    source = "reference" if given else "live"
+    prepared.meter.note(auto_params=derived, detection_source=source, detection_mode="unsupervised")
     forest = fit_forest(points, params)
     judged = cut_lineage(forest.score(points).select(*verdict_columns, "weight"))
     judged = scale_scores(judged, forest.threshold)
@@ -132,13 +164,14 @@ def analyze(logs: DataFrame, params: Params = DEFAULTS) -> Analysis:
         vectors=judged,
         scored=score_events(detected, prepared.max_template, params),
         max_template=prepared.max_template,
+        meter=prepared.meter,
     )
 
 
 def score_unseen(
-    fitted: Analysis, logs: DataFrame, reuse_training_stats: bool = False
+    fitted: Analysis | FittedRun, logs: DataFrame, reuse_training_stats: bool = False
 ) -> DataFrame:
-    """Score new logs with the fitted forest; the density detector runs afresh on them.
+    """Score new logs with the forest of a run, just fitted or loaded; the density detector runs afresh on them.
 
     By default the scaler is refitted on the new logs; ``reuse_training_stats``
     keeps the training scale instead.

@@ -12,15 +12,20 @@ from emberlog.params import DEFAULTS, Params
 from emberlog.sources.text_logs import parse_lines, resolve_timestamps, to_logs
 
 
-def read_log_stream(spark: SparkSession, path: str, mode: str = "per_row", assume_year: int = 1900) -> DataFrame:
-    """Text files arriving in a folder -> cleaned log rows.
+def read_raw_stream(spark: SparkSession, path: str, mode: str = "per_row", assume_year: int = 1900) -> DataFrame:
+    """Text files arriving in a folder -> log rows as ``analyze`` and ``score_unseen`` take them.
 
     ``mode`` cannot be ``reference``: that rule looks at the whole input.
     """
     if mode == "reference":
         raise ValueError("a stream has no whole input to look at; use per_row, classic or iso")
     lines = spark.readStream.text(path).withColumn("line_no", F.lit(None).cast("long"))
-    return clean(to_logs(resolve_timestamps(parse_lines(lines), mode, assume_year)))
+    return to_logs(resolve_timestamps(parse_lines(lines), mode, assume_year))
+
+
+def read_log_stream(spark: SparkSession, path: str, mode: str = "per_row", assume_year: int = 1900) -> DataFrame:
+    """Text files arriving in a folder -> cleaned log rows."""
+    return clean(read_raw_stream(spark, path, mode, assume_year))
 
 
 def burst_counts(rows: DataFrame, params: Params = DEFAULTS, late: str = "10 minutes") -> DataFrame:

@@ -13,15 +13,16 @@ from pyspark.sql import DataFrame, SparkSession, functions as F
 from emberlog.operators import features as X
 from emberlog.operators.dbscan import DensityModel
 from emberlog.operators.explain import explain
+from emberlog.operators.meter import Meter
 from emberlog.params import DEFAULTS
-from emberlog.plans.analysis import score_events
+from emberlog.plans.analysis import score_events, verdict_counts
 from emberlog.session import store
 from registry.logs import logs_table
 
-_BUILT: dict[tuple, DataFrame] = {}
+_BUILT: dict[tuple, object] = {}
 
 
-def _once(name: str, spark: SparkSession, sf_dir: str, build) -> DataFrame:
+def _once(name: str, spark: SparkSession, sf_dir: str, build):
     key = (spark.sparkContext.applicationId, sf_dir, name)
     if key not in _BUILT:
         _BUILT[key] = build()
@@ -47,22 +48,32 @@ def stand_in_score() -> dict:
     return {"model_prob": score, "iforest_noise": score > 0.95}
 
 
-def _build_scored(spark: SparkSession, sf_dir: str) -> DataFrame:
-    indexed = X.with_event_ids(logs_table(spark, sf_dir))
+def _build_scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Meter]:
+    meter = Meter()
+    indexed = X.with_event_ids(logs_table(spark, sf_dir), meter=meter)
     signatures = store(X.signatures(indexed))
     vectors = store(X.vectors(signatures))
     clusters = DensityModel(X.feature_vectors(vectors), DEFAULTS.eps, DEFAULTS.min_samples).clusters()
     verdicts = clusters.select(*X.VECTOR_KEY, "dbscan_cluster", F.col("noise").alias("dbscan_noise"))
     rows = X.attach(indexed, signatures.join(verdicts, X.VECTOR_KEY)).withColumns(stand_in_score())
-    top = vectors.agg(F.max("tmpl_freq")).first()[0]
-    return store(score_events(rows, top))
+    top, services, classes = signatures.agg(
+        F.max("tmpl_freq"), F.countDistinct("service"), F.countDistinct("event_class")
+    ).first()
+    meter.note(services=services, event_classes=classes, model_features=len(X.FEATURES))
+    return store(meter.watch(score_events(rows, top), **verdict_counts())), meter
 
 
 def scored_table(spark: SparkSession, sf_dir: str) -> DataFrame:
     from emberlog.session import prepare_session
 
     prepare_session(spark)
-    return _once("scored", spark, sf_dir, lambda: _build_scored(spark, sf_dir))
+    return _once("scored", spark, sf_dir, lambda: _build_scored(spark, sf_dir))[0]
+
+
+def scored_meter(spark: SparkSession, sf_dir: str) -> Meter:
+    """Counts taken while the scored table was built."""
+    scored_table(spark, sf_dir)
+    return _once("scored", spark, sf_dir, None)[1]
 
 
 def explained_table(spark: SparkSession, sf_dir: str) -> DataFrame:

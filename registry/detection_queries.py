@@ -2,19 +2,23 @@
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import DataFrame, SparkSession, functions as F
 
 from emberlog import constants as K
 from emberlog.functions import scoring
-from emberlog.operators import evaluate, features as X, projection as P
+from emberlog.operators import evaluate, features as X, patterns, projection as P, tree_folds
 from emberlog.operators.dbscan import dbscan, dbscan_noise
 from emberlog.operators.forest import fit_forest, scale_scores
 from emberlog.operators.neighbours import density_parameters as derive, k_distances
 from emberlog.params import DEFAULTS
+from emberlog.plans import runs
 from emberlog.plans.analysis import analyze, score_unseen
-from emberlog.session import cut_lineage
-from registry.base import scored_table, vector_table
+from emberlog.session import cut_lineage, ensure_checkpoint_dir, store
+from registry.base import scored_meter, scored_table, vector_table
 from registry.catalogue import query
+from registry.explore_queries import _RULES, _items
 from registry.logs import logs_table
 from registry.sql import _DISTANCE, density_ctes, from_clusters, from_events, from_flags, from_vectors
 
@@ -97,9 +101,54 @@ def analyzed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 @query("unseen_scores")
 def unseen_scores(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Fit on the logs, then score them as if they were a new file."""
+    """Fit on the logs, store the run, load it, and score the logs with it as if they were a new file."""
     logs = logs_table(spark, sf_dir)
-    return score_unseen(analyze(logs), logs)
+    return score_unseen(_stored_run(spark, sf_dir).fitted, logs)
+
+
+def _stored_run(spark: SparkSession, sf_dir: str):
+    path = f"{ensure_checkpoint_dir(spark)}/runs/{uuid.uuid4().hex}"
+    runs.save_run(analyze(logs_table(spark, sf_dir)), path)
+    return runs.load_run(spark, path)
+
+
+@query("stored_run_stages")
+def stored_run_stages(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """All stage counts of a whole run, read from where the run is stored."""
+    return _stored_run(spark, sf_dir).tables["stages"]
+
+
+@query(
+    "run_stage_counts",
+    from_events(
+        """SELECT count(*) AS input_rows, count(*) AS cleaned_rows, count(DISTINCT service) AS services, count(DISTINCT event_class) AS event_classes,
+        count(DISTINCT CASE WHEN NOT dbscan_noise THEN dbscan_cluster END) AS dbscan_clusters, count_if(dbscan_noise) AS dbscan_noise,
+        count_if(iforest_noise) AS isolation_forest_anomalies, count_if(dbscan_noise OR iforest_noise) AS ensemble_anomalies,
+        CAST(17 AS BIGINT) AS model_features, (SELECT n FROM wins) AS apriori_windows, (SELECT count(*) FROM supp) AS itemsets,
+        (SELECT count(*) FROM rules WHERE confidence >= 0.7 AND lift > 1.0) AS rules FROM ev""",
+        _items(0.05),
+        _RULES,
+    ),
+)
+def run_stage_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every count of a run's stages; those of the events were gathered while the event table was written."""
+    events = scored_table(spark, sf_dir)
+    windows = store(patterns.window_items(events))
+    itemsets = store(patterns.frequent_itemsets(windows))
+    counts = scored_meter(spark, sf_dir).read() | runs.pattern_counts(windows, itemsets, patterns.association_rules(itemsets))
+    row = runs.stages_row(spark, counts | runs.cluster_count(patterns.cluster_summary(events)))
+    return row.drop("auto_params", "detection_source", "detection_mode")
+
+
+@query(
+    "cluster_order",
+    from_events(
+        """SELECT row_number() OVER (ORDER BY size DESC, dbscan_cluster) - 1 AS position, dbscan_cluster, size
+        FROM (SELECT dbscan_cluster, count(*) AS size FROM ev GROUP BY dbscan_cluster)"""
+    ),
+)
+def cluster_order(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return runs.ranked_clusters(scored_table(spark, sf_dir)).select("position", "dbscan_cluster", "size")
 
 
 @query("feature_projection")
@@ -124,10 +173,7 @@ _NAMES = "[" + ", ".join(f"'{n}'" for n in X.FEATURES) + "]"
     ),
 )
 def feature_importance(spark: SparkSession, sf_dir: str) -> DataFrame:
-    counted = scored_table(spark, sf_dir).groupBy(*X.VECTOR_KEY, (F.col("status") == "ANOMALY").alias("is_anomaly")).agg(
-        F.count("*").alias("weight")
-    )
-    points = counted.join(vector_table(spark, sf_dir).drop("weight"), X.VECTOR_KEY)
+    points = runs.anomaly_points(scored_table(spark, sf_dir), vector_table(spark, sf_dir))
     return P.feature_importance(points).withColumn("importance", F.round("importance", 6))
 
 
@@ -161,6 +207,23 @@ def forest_only_metrics(spark: SparkSession, sf_dir: str) -> DataFrame:
     return _rounded(evaluate.classification_report(_labelled(spark, sf_dir), "truth", "model_pred"))
 
 
+@query(
+    "metrics_by_service",
+    from_events(
+        """SELECT *, round((tp + tn) / n, 9) AS accuracy, round(CASE WHEN tp + fp > 0 THEN tp / (tp + fp) ELSE 0 END, 9) AS "precision",
+        round(CASE WHEN tp + fn > 0 THEN tp / (tp + fn) ELSE 0 END, 9) AS recall,
+        round(CASE WHEN 2 * tp + fp + fn > 0 THEN 2 * tp / (2 * tp + fp + fn) ELSE 0 END, 9) AS f1
+        FROM (SELECT service, count(*) AS n, count_if(t = 1) AS positives, count_if(t = 0 AND p = 0) AS tn, count_if(t = 0 AND p = 1) AS fp,
+          count_if(t = 1 AND p = 0) AS fn, count_if(t = 1 AND p = 1) AS tp
+          FROM (SELECT service, """ + _TRUTH + """ AS t, CASE WHEN status = 'ANOMALY' THEN 1 ELSE 0 END AS p FROM ev) WHERE t IS NOT NULL GROUP BY service)"""
+    ),
+)
+def metrics_by_service(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Verdicts against labels, service by service, also where all labels are of one class."""
+    rows = _labelled(spark, sf_dir).withColumn("predicted", scoring.is_anomaly())
+    return _rounded(evaluate.classification_report(rows, "truth", "predicted", both_classes=False, by=("service",)))
+
+
 @query(
     "roc_auc",
     from_events(
@@ -204,9 +267,43 @@ def temporal_split(spark: SparkSession, sf_dir: str) -> DataFrame:
     return events.select("event_id", part.alias("part"))
 
 
+def _tree_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    rows = X.with_text_measures(scored_table(spark, sf_dir))
+    return rows.withColumn("truth", scoring.is_anomaly().cast("int"))
+
+
+@query(
+    "evaluation_splits",
+    from_events(
+        """SELECT split, count_if(NOT test) AS train_n, count_if(test) AS test_n, count_if(NOT test AND t = 1) AS train_positives,
+        count_if(test AND t = 1) AS test_positives FROM split_rows GROUP BY split""",
+        """ranked AS MATERIALIZED (SELECT row_idx, CASE WHEN status = 'ANOMALY' THEN 1 ELSE 0 END AS t,
+          row_number() OVER (PARTITION BY status = 'ANOMALY' ORDER BY md5('42:' || line_no), line_no) - 1 AS r FROM ev),
+        class_n AS (SELECT count(*) AS n, count_if(t = 1) AS n1, count_if(t = 0) AS n0, (count(*) * 200000 + 999999) // 1000000 AS test FROM ranked),
+        test_low AS (SELECT *, n0 * test // n AS l0, n1 * test // n AS l1, n1 * test % n > n0 * test % n AS up FROM class_n),
+        test_n AS (SELECT n, l0 + CASE WHEN l0 + l1 < test AND NOT up THEN 1 ELSE 0 END AS t0, l1 + CASE WHEN l0 + l1 < test AND up THEN 1 ELSE 0 END AS t1,
+          least(5, n0, n1) AS k FROM test_low),
+        parts_of AS (SELECT t, r < CASE WHEN t = 1 THEN t1 ELSE t0 END AS held, row_idx >= CAST(floor(n * 0.8) AS BIGINT) AS late, r % k AS fold, k
+          FROM ranked, test_n),
+        split_rows AS (SELECT 'holdout' AS split, t, held AS test FROM parts_of UNION ALL SELECT 'temporal', t, late FROM parts_of
+          UNION ALL SELECT 'fold ' || (f + 1), t, fold = f FROM parts_of, range(5) AS folds(f) WHERE f < k)""",
+    ),
+)
+def evaluation_splits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sizes of the stratified hold-out, the temporal hold-out and the stratified folds."""
+    rows = _tree_rows(spark, sf_dir)
+    split = tree_folds.plan_split(rows, "truth")
+    parted = tree_folds.with_parts(rows, "truth", "line_no", "row_idx", split)
+    return tree_folds.part_counts(parted, "truth", split.folds)
+
+
 @query("classifier_evaluation")
 def classifier_evaluation(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """How well a decision tree reproduces the detector's verdict, per split."""
-    rows = X.with_text_measures(scored_table(spark, sf_dir))
-    rows = rows.withColumn("truth", scoring.is_anomaly().cast("int"))
-    return evaluate.evaluate_tree(rows, "truth", "line_no")
+    """How well a decision tree reproduces the detector's verdict, per split; all trees are grown together."""
+    return tree_folds.evaluate_trees(_tree_rows(spark, sf_dir), "truth", "line_no", "row_idx")
+
+
+@query("classifier_folds")
+def classifier_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Mean and deviation of accuracy and F1 over the folds."""
+    return tree_folds.fold_summary(classifier_evaluation(spark, sf_dir))
