@@ -7,7 +7,7 @@ shared folder and read again.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession, functions as F
+from pyspark.sql import Column, DataFrame, SparkSession, functions as F
 
 from emberlog.llm import decontamination, minhash_dedup, sentencepiece_codec, substring_dedup, toxicity
 from emberlog.llm.common import stored
@@ -17,11 +17,33 @@ from emberlog.llm.queries import PIECE_BPE
 ORACLE_SQL = None
 
 
+def _packed(docs: DataFrame) -> DataFrame:
+    """``(id, th, doc)``: each document whole in one column beside its key, so that no column name can clash."""
+    th = F.xxhash64(F.coalesce(docs["text"], F.lit("")))
+    return docs.select(docs["doc_id"].alias("id"), th.alias("th"), F.struct("*").alias("doc"))
+
+
+def _key(facts: DataFrame) -> Column:
+    """The join of packed documents with ``facts(fact_id, fact_th, ...)``; null ids meet null ids."""
+    return F.col("id").eqNullSafe(facts["fact_id"]) & (F.col("th") == facts["fact_th"])
+
+
+def _facts(rows: DataFrame, *columns) -> DataFrame:
+    return rows.select(F.col("doc_id").alias("fact_id"), F.col("th").alias("fact_th"), *columns)
+
+
 def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that the classifier chain finds toxic go.  A text that is null or empty stays."""
+    """Documents that the classifier chain finds toxic go.
+
+    Every row is judged by its own text, repeated ones alike; a text that is null or empty stays.  Without
+    documents nothing is learned and no row comes out.
+    """
+    if docs.isEmpty():
+        return docs
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    scored = toxicity.toxicity(docs, chain, "_toxicity")
-    return scored.where(F.col("_toxicity.toxic") < toxicity.REJECT_FROM).drop("_toxicity")
+    packed = docs.select(docs["text"], F.struct("*").alias("doc"))
+    scored = toxicity.toxicity(packed, chain, "toxicity")
+    return scored.where(F.col("toxicity.toxic") < toxicity.REJECT_FROM).select("doc.*")
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -30,53 +52,47 @@ def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
     Documents without words are in no group and all stay.
     """
     verdicts = minhash_dedup.near_duplicates(docs, with_key=True)
-    alike = verdicts.groupBy(F.col("doc_id").alias("_id"), F.col("th").alias("_th")).agg(
-        F.bool_and("chosen").alias("chosen"), ((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("_again")
+    alike = _facts(verdicts, "chosen", "n_shingles").groupBy("fact_id", "fact_th").agg(
+        F.bool_and("chosen").alias("chosen"), ((F.max("n_shingles") > 0) & (F.count("*") > 1)).alias("again")
     )
-    marks = stored(alike.where("NOT chosen OR _again"))
-    found = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    this = F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th"))
-    once = found.join(marks, this, "left_anti").select(*docs.columns)
-    again = found.join(marks.where("chosen"), this, "left_semi")  # rows alike in id and text, of which one stays
-    rest = [c for c in docs.columns if c not in ("doc_id", "text")]
-    first = again.groupBy("doc_id", "text").agg(F.min(F.struct(*rest)).alias("_row")) if rest else again.distinct()
-    return once.unionByName(first.select(*[F.col(f"_row.{c}").alias(c) if c in rest else c for c in docs.columns]))
+    marks = stored(alike.where("NOT chosen OR again"))
+    found = _packed(docs)
+    once = found.join(marks, _key(marks), "left_anti").select("doc.*")
+    several = marks.where("chosen")  # rows alike in id and text, of which one stays
+    first = found.join(several, _key(several), "left_semi").groupBy("id", "th").agg(F.min("doc").alias("doc"))
+    return once.unionByName(first.select("doc.*"))
 
 
 def _with_text(docs: DataFrame, texts: DataFrame) -> DataFrame:
-    """``docs`` with the texts of ``texts(doc_id, th, new)``, and their lengths."""
-    named = texts.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th"), F.col("new").alias("_new"))
-    same_text = F.xxhash64(F.coalesce(docs["text"], F.lit(""))) == named["_th"]
-    changed = docs.join(named.hint("shuffle_hash"), docs["doc_id"].eqNullSafe(named["_id"]) & same_text, "left")
-    new = F.col("_new")
-    columns = [
-        F.coalesce(new, docs[c]).alias(c) if c == "text"
-        else F.when(new.isNull(), docs[c]).otherwise(F.length(new).cast("long")).alias(c) if c == "n_chars"
-        else docs[c]
-        for c in docs.columns
-    ]
-    return changed.select(*columns)
+    """``docs`` with the texts of ``texts(fact_id, fact_th, new)``, and their lengths."""
+    changed = _packed(docs).join(texts.hint("shuffle_hash"), _key(texts), "left")
+    new = F.col("new")
+    columns = {
+        "text": lambda old: F.coalesce(new, old),
+        "n_chars": lambda old: F.when(new.isNull(), old).otherwise(F.length(new).cast("long")),
+    }
+    fields = [(f.name, F.col("doc").getField(f.name)) for f in docs.schema]
+    return changed.select(*[columns.get(name, lambda old: old)(old).alias(name) for name, old in fields])
 
 
 def drop_repeated_spans(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Word spans that a document with a smaller id holds go; the words left are joined by a space.
 
-    Texts that lose nothing stay as they are.
+    Texts that lose nothing stay as they are, null and empty ones too; no row goes.  Repeated rows lose the same.
     """
     cut = substring_dedup.drop_repeats(docs, with_key=True).where("n_removed > 0")
-    return _with_text(docs, cut.select("doc_id", "th", F.col("kept").alias("new")).dropDuplicates(["doc_id", "th"]))
+    return _with_text(docs, _facts(cut, F.col("kept").alias("new")).dropDuplicates(["fact_id", "fact_th"]))
 
 
 def drop_benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents that hold a window of a benchmark item go."""
+    """Documents that hold a window of a benchmark item go, repeated rows all of them; texts without words stay."""
     leaks = decontamination.find_leaks(docs, spark.read.parquet(f"{sf_dir}/benchmark.parquet"))
-    gone = stored(leaks.select(F.col("doc_id").alias("_id"), F.col("th").alias("_th")))
-    found = docs.withColumn("_h", F.xxhash64(F.coalesce(F.col("text"), F.lit(""))))
-    return found.join(gone, F.col("doc_id").eqNullSafe(F.col("_id")) & (F.col("_h") == F.col("_th")), "left_anti").drop("_h")
+    gone = stored(_facts(leaks))
+    return _packed(docs).join(gone, _key(gone), "left_anti").select("doc.*")
 
 
 def encode_pieces(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Token ids of every document, and digests of the ids and the text decoded from them."""
+    """Token counts of every row, and digests of the ids and of the text decoded from them; a null text is empty."""
     return sentencepiece_codec.digests(sentencepiece_codec.round_trip(docs, PIECE_BPE))
 
 
@@ -90,6 +106,10 @@ STAGES = [
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """``(doc_id, n_tokens, ids_sha256, decoded_sha256)`` of the rows of ``documents`` that all stages keep.
+
+    Nulls, repeated rows, extra columns and empty tables are handled as each stage says; no documents give no rows.
+    """
     docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
     for _, stage in STAGES[:-1]:
         docs = stored(stage(spark, docs, sf_dir))
