@@ -41,9 +41,9 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     if docs.isEmpty():
         return docs
     chain = toxicity.train(docs, spark.read.parquet(f"{sf_dir}/labels.parquet"))
-    packed = docs.select(docs["text"], F.struct("*").alias("doc"))
-    scored = toxicity.toxicity(packed, chain, "toxicity")
-    return scored.where(F.col("toxicity.toxic") < toxicity.REJECT_FROM).select("doc.*")
+    verdict = "toxicity" + "_" * max(map(len, docs.columns))  # longer than any name, so none clashes
+    scored = toxicity.toxicity(docs, chain, verdict)
+    return scored.where(F.col(verdict)["toxic"] < toxicity.REJECT_FROM).drop(verdict)
 
 
 def drop_near_duplicates(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
