@@ -90,7 +90,7 @@ def band_keys(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
 
 def signatures(docs: DataFrame, width: int) -> DataFrame:
     """``(doc_id, th, n, set_a, set_b, bands)``: set size, a 128-bit name of the set, band keys (none of empty sets)."""
-    small_batches(docs.sparkSession)
+    small_batches(docs.sparkSession, megabytes=4)  # the arrays over a batch take some 30 times its bytes
 
     def run(batches):
         for batch in batches:
