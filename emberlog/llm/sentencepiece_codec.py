@@ -28,9 +28,10 @@ from emberlog.llm.common import small_batches
 
 SPACE = "▁"
 _LETTER = r"[^\W\d_]"
-_CACHED_PARTS = 300_000
+#: Bounds of what a Python worker keeps from one task to the next: some 80 MB.
+_CACHED_PARTS = 150_000
 _CACHED_LENGTH = 48
-_CACHED_PAIRS = 1_000_000
+_CACHED_PAIRS = 300_000
 
 
 class PrefixTable:
@@ -194,6 +195,19 @@ def _table(path: str) -> PrefixTable:
     return PrefixTable(path)
 
 
+def _ids_of(table: PrefixTable, texts: pa.Array) -> pa.ListArray:
+    found = [table.encode(t or "") for t in texts.to_pylist()]
+    sizes = np.cumsum([0] + [len(x) // 4 for x in found])
+    flat = pa.Array.from_buffers(pa.int32(), int(sizes[-1]), [None, pa.py_buffer(b"".join(found))])
+    return pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat)
+
+
+def _texts_of(table: PrefixTable, ids: pa.ListArray) -> pa.Array:
+    flat = ids.values.to_numpy(zero_copy_only=False)
+    bounds = ids.offsets.to_numpy()
+    return pa.array([table.decode(flat[a:b]) for a, b in zip(bounds, bounds[1:])], pa.string())
+
+
 def _renamed(batch: pa.RecordBatch, name: str, values: pa.Array) -> pa.RecordBatch:
     kept = [(n, c) for n, c in zip(batch.schema.names, batch.columns) if n != name]
     return pa.record_batch([c for _, c in kept] + [values], [n for n, _ in kept] + [name])
@@ -214,10 +228,7 @@ def encode(docs: DataFrame, model_path: str, text: str = "text", ids: str = "ids
     def run(batches):
         table = _table(model_path)
         for batch in batches:
-            found = [table.encode(t or "") for t in batch.column(text).to_pylist()]
-            sizes = np.cumsum([0] + [len(x) // 4 for x in found])
-            flat = pa.Array.from_buffers(pa.int32(), int(sizes[-1]), [None, pa.py_buffer(b"".join(found))])
-            yield _renamed(batch, ids, pa.ListArray.from_arrays(pa.array(sizes, pa.int32()), flat))
+            yield _renamed(batch, ids, _ids_of(table, batch.column(text)))
 
     return docs.mapInArrow(run, _with(docs, ids, ArrayType(IntegerType(), False)))
 
@@ -229,18 +240,26 @@ def decode(encoded: DataFrame, model_path: str, ids: str = "ids", text: str = "d
     def run(batches):
         table = _table(model_path)
         for batch in batches:
-            column = batch.column(ids)
-            flat = column.values.to_numpy(zero_copy_only=False)
-            bounds = column.offsets.to_numpy()
-            texts = [table.decode(flat[a:b]) for a, b in zip(bounds, bounds[1:])]
-            yield _renamed(batch, text, pa.array(texts, pa.string()))
+            yield _renamed(batch, text, _texts_of(table, batch.column(ids)))
 
     return encoded.mapInArrow(run, _with(encoded, text, StringType()))
 
 
 def round_trip(docs: DataFrame, model_path: str) -> DataFrame:
-    """``(doc_id, ids, decoded)`` of every row."""
-    return decode(encode(docs.select("doc_id", "text"), model_path), model_path).select("doc_id", "ids", "decoded")
+    """``(doc_id, ids, decoded)`` of every row, by one Python worker a task: encoded, and decoded from the ids."""
+    small_batches(docs.sparkSession)
+
+    def run(batches):
+        table = _table(model_path)
+        for batch in batches:
+            ids = _ids_of(table, batch.column("text"))
+            yield pa.record_batch([batch.column("doc_id"), ids, _texts_of(table, ids)], ["doc_id", "ids", "decoded"])
+
+    rows = docs.select("doc_id", "text")
+    id_type = rows.schema["doc_id"].dataType
+    schema = StructType([StructField("doc_id", id_type), StructField("ids", ArrayType(IntegerType(), False), False),
+                         StructField("decoded", StringType(), False)])
+    return rows.mapInArrow(run, schema)
 
 
 def digests(trip: DataFrame) -> DataFrame:
