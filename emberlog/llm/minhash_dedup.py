@@ -6,6 +6,9 @@ with equal shingle sets are one node from the start.  In each band bucket all
 nodes are compared with one hub; only buckets whose nodes then still fall into
 several components are looked at again, with another hub and at last block by
 block.  Every link is confirmed on the full shingle sets.
+
+Small sets, whose minimum and maximum depend on each other, take an exact way to their
+buckets: two sets that are similar enough share one of their rarest shingles.
 """
 
 from __future__ import annotations
@@ -26,6 +29,8 @@ SIMILARITY = 80
 BANDS = 40
 PER_BAND = 3
 HUB_ROUNDS = 1
+#: Pairs of sets up to this size meet by their rarest shingles and are never missed.
+SMALL = 40
 #: Nodes of a bucket that are compared with each other at a time.
 BLOCK = 256
 
@@ -88,19 +93,29 @@ def band_keys(codes: np.ndarray, starts: np.ndarray) -> np.ndarray:
     return out
 
 
-def signatures(docs: DataFrame, width: int) -> DataFrame:
-    """``(doc_id, th, n, set_a, set_b, bands)``: set size, a 128-bit name of the set, band keys (none of empty sets)."""
+def _runs(rows: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """Offsets of a list column whose ``rows`` hold ``sizes`` values and the others none."""
+    return np.cumsum(np.concatenate([[0], np.where(rows, sizes, 0)]))
+
+
+def signatures(docs: DataFrame, width: int, similarity: int) -> DataFrame:
+    """``(doc_id, th, n, set_a, set_b, bands, few)``: set size, a 128-bit name of the set, band keys, a small set itself.
+
+    Sets whose partners are all ``SMALL`` at most have no bands.  ``few`` is empty for larger sets and for those so
+    small that no other set is similar enough.
+    """
     small_batches(docs.sparkSession, megabytes=4)  # the arrays over a batch take some 30 times its bytes
 
     def run(batches):
         for batch in batches:
             codes, starts = shingle_sets(batch.column("text").to_pylist(), width)
             n = np.diff(starts)
-            some = np.flatnonzero(n > 0)
+            banded = 100 * n >= similarity * (SMALL + 1)
+            few = (n <= SMALL) & (100 * n >= similarity * (n + 1))
             sums = np.concatenate([np.zeros(1, _U), np.cumsum(H.mix(codes), dtype=_U)])
             other = np.concatenate([np.zeros(1, _U), np.cumsum(H.mix(codes * _U(0x9FB21C651E98DF25)), dtype=_U)])
-            bands = band_keys(codes, np.append(starts[some], len(codes))) if len(some) else np.zeros((0, BANDS), _U)
-            offsets = np.cumsum(np.concatenate([[0], np.where(n > 0, BANDS, 0)]))
+            long_codes = codes[np.repeat(banded, n)]
+            bands = band_keys(long_codes, _runs(banded, n)[np.append(banded, True)]) if banded.any() else np.zeros((0, BANDS), _U)
             yield pa.record_batch(
                 [
                     batch.column("doc_id"),
@@ -108,13 +123,14 @@ def signatures(docs: DataFrame, width: int) -> DataFrame:
                     pa.array(n, pa.int64()),
                     as_sum(sums, starts),
                     as_sum(other, starts),
-                    pa.ListArray.from_arrays(pa.array(offsets, pa.int32()), H.as_long(bands.ravel())),
+                    pa.ListArray.from_arrays(pa.array(_runs(banded, BANDS), pa.int32()), H.as_long(bands.ravel())),
+                    pa.ListArray.from_arrays(pa.array(_runs(few, n), pa.int32()), H.as_long(codes[np.repeat(few, n)])),
                 ],
-                ["doc_id", "th", "n", "set_a", "set_b", "bands"],
+                ["doc_id", "th", "n", "set_a", "set_b", "bands", "few"],
             )
 
     return keyed(docs).select("doc_id", "th", "text").mapInArrow(
-        run, "doc_id long, th long, n long, set_a long, set_b long, bands array<long>"
+        run, "doc_id long, th long, n long, set_a long, set_b long, bands array<long>, few array<long>"
     )
 
 
@@ -122,6 +138,22 @@ def as_sum(sums: np.ndarray, starts: np.ndarray) -> pa.Array:
     return H.as_long(H.mix(sums[starts[1:]] - sums[starts[:-1]] + _U(1)))
 
 
+def small_keys(nodes: DataFrame, similarity: int) -> DataFrame:
+    """``(node, key)``: bucket keys of ``nodes(node, few)``, so that all similar pairs of them share a bucket.
+
+    Of two sets that share enough, the first ``n - ceil(similarity * n / 100) + 1`` shingles in any one order
+    overlap.  The order is by rarity among all nodes, so buckets stay small; shingles of one node need none.
+    """
+    held = nodes.select("node", F.explode("few").alias("code"))
+    common = stored(held.groupBy("code").agg(F.count("*").alias("times")).where("times > 1"))
+    ranked = held.join(common, "code", "left").groupBy("node").agg(
+        F.sort_array(F.collect_list(F.struct(F.coalesce("times", F.lit(1)).alias("times"), "code"))).alias("order")
+    )
+    first = F.expr(f"slice(order, 1, size(order) - (size(order) * {similarity} + 99) div 100 + 1)")
+    keys = ranked.select("node", F.explode(first).alias("rare")).where("rare.times > 1")
+    return keys.select("node", F.xxhash64("rare.code", F.lit("few")).alias("key"))
+
+
 def _sets(docs: DataFrame, samples: DataFrame, width: int) -> DataFrame:
     """``(node, codes)``: the full shingle sets of ``samples(node, doc_id, th)``."""
 
@@ -255,15 +287,20 @@ def near_duplicates(
     ``with_key`` adds ``th``, the hash of the text, and ``chosen``: whether ``(doc_id, th)`` is the one of its
     component that stands for all, which is the smallest id, of equal ids the smallest hash.
     """
-    signed = settled(signatures(docs, width))
+    signed = settled(signatures(docs, width, similarity))
     place = F.struct(F.col("doc_id").isNull().alias("no_id"), F.coalesce(F.col("doc_id"), F.lit(0)).alias("order"), "th")
     nodes = stored(
         signed.where("n > 0")
         .groupBy("set_a", "set_b")
-        .agg(F.min(place).alias("smallest"), F.min(F.struct("doc_id", "th")).alias("sample"), F.any_value("bands").alias("bands"))
+        .agg(
+            F.min(place).alias("smallest"),
+            F.min(F.struct("doc_id", "th")).alias("sample"),
+            F.any_value("bands").alias("bands"),
+            F.any_value("few").alias("few"),
+        )
         .withColumn("node", F.monotonically_increasing_id())
     )
-    spread = nodes.select("node", F.explode("bands").alias("key"))
+    spread = nodes.select("node", F.explode("bands").alias("key")).unionByName(stored(small_keys(nodes, similarity)))
     crowded = stored(spread.groupBy("key").agg(F.count("*").alias("n")).where("n > 1").select("key"))
     members = settled(spread.join(crowded, "key"))
     involved = members.select("node").distinct()

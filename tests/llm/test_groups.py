@@ -116,6 +116,42 @@ def test_near_duplicates(docs, rows, width, hubs, monkeypatch):
     _same(near_duplicates(docs, width, 80), want)
 
 
+@pytest.mark.parametrize("width,similarity", [(2, 80), (1, 70), (1, 100)])
+def test_small_sets_lose_no_link(spark, width, similarity):
+    from emberlog.llm.minhash_dedup import near_duplicates
+
+    rng = random.Random(width)
+    texts = []
+    for k in range(220):  # families of short texts with one to five changed words; "the" is in a third of all
+        base = [rng.choice(["the", "of", f"u{rng.randint(0, 400)}", f"v{k}x{j}"]) for j in range(rng.randint(1, 44))]
+        for _ in range(rng.randint(1, 5)):
+            changed = list(base)
+            for _ in range(rng.randint(0, 3)):
+                changed[rng.randrange(len(base))] = f"c{rng.randint(0, 10**6)}"
+            texts.append(" ".join(changed + rng.choices(["tail", "the"], k=rng.randint(0, 2))))
+    sets = []
+    for t in texts:
+        w = t.split()
+        sets.append({tuple(w[k : k + width]) for k in range(len(w) - width + 1)} or {tuple(w)})
+    least = list(range(len(texts)))  # by repeated passes over all links
+    links = [
+        (a, b)
+        for a in range(len(texts))
+        for b in range(a)
+        if 100 * len(sets[a] & sets[b]) >= similarity * len(sets[a] | sets[b])
+    ]
+    assert len(links) > 10
+    moved = True
+    while moved:
+        moved = False
+        for a, b in links:
+            low = min(least[a], least[b])
+            moved |= (least[a], least[b]) != (low, low)
+            least[a] = least[b] = low
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")
+    _same(near_duplicates(docs, width, similarity), [(i, len(sets[i]), least[i], least[i] == i) for i in range(len(texts))])
+
+
 def test_contamination(spark, docs, rows, small_dir):
     from emberlog.llm.decontamination import contamination
 
