@@ -63,8 +63,8 @@ def running_sums(df: DataFrame, key: list[str], order: list[str], values: list[s
             starts = np.flatnonzero(new)
             runs = ordinal + np.cumsum(new)
             at = np.arange(n)
-            # the row before the run of each row; -1 is the row before the batch
-            origin = np.full(n, -1) if not len(starts) else np.where(
+            # the row before the run of each row; -1 is the row before the batch, a run from earlier batches began before that
+            origin = np.full(n, -1 - inside) if not len(starts) else np.where(
                 runs > ordinal, starts[np.maximum(runs - ordinal - 1, 0)] - 1, -1 - inside
             )
             sums = []

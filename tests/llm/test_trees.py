@@ -168,6 +168,33 @@ def test_running_sums(spark):
     _same(found, want)
 
 
+@pytest.fixture
+def many_batches(spark):
+    """Groups over several partitions, and several batches in each."""
+    given = {"spark.sql.adaptive.coalescePartitions.enabled": "false", "spark.sql.execution.arrow.maxRecordsPerBatch": "7"}
+    before = {name: spark.conf.get(name) for name in given}
+    for name, value in given.items():
+        spark.conf.set(name, value)
+    yield
+    for name, value in before.items():
+        spark.conf.set(name, value)
+
+
+def test_running_sums_over_whole_batches_of_a_group(spark, many_batches):
+    from emberlog.llm.ordered import running_sums
+
+    rows = [("ab"[k % 2], k, 1) for k in range(300)]
+    found = running_sums(spark.createDataFrame(rows, "g string, k long, v long"), ["g"], ["k"], ["v"])
+    _same(found, [(g, k, v, k // 2 + 1) for g, k, v in rows])
+
+
+def test_manifest_over_whole_batches_of_a_source(spark, many_batches):
+    from emberlog.llm import merkle_manifest
+
+    rows = [(k, "ab"[k % 2], "en", k, f"t\n{k}") for k in range(300)]
+    _same(merkle_manifest.check(spark.createDataFrame(rows, MERKLE)), _manifest(rows))
+
+
 @pytest.mark.parametrize("shuffled", [False, True])
 def test_list_ranking(spark, shuffled):
     from emberlog.llm.list_ranking import sums_before
