@@ -125,7 +125,7 @@ def _prepare(logs: DataFrame, params: Params) -> _Prepared:
 
 def _attach(prepared: _Prepared, verdicts: DataFrame) -> DataFrame:
     """Vector verdicts -> signatures -> events (one wide join)."""
-    facts = prepared.signatures.join(verdicts, X.VECTOR_KEY)
+    facts = store(prepared.signatures.join(verdicts, X.VECTOR_KEY))  # its true size tells Spark whether the events need a shuffle
     return X.attach(prepared.indexed, facts)
 
 

@@ -55,7 +55,8 @@ def _build_scored(spark: SparkSession, sf_dir: str) -> tuple[DataFrame, Meter]:
     vectors = store(X.vectors(signatures))
     clusters = DensityModel(X.feature_vectors(vectors), DEFAULTS.eps, DEFAULTS.min_samples).clusters()
     verdicts = clusters.select(*X.VECTOR_KEY, "dbscan_cluster", F.col("noise").alias("dbscan_noise"))
-    rows = X.attach(indexed, signatures.join(verdicts, X.VECTOR_KEY)).withColumns(stand_in_score())
+    facts = store(signatures.join(verdicts, X.VECTOR_KEY))  # its true size tells Spark whether the events need a shuffle
+    rows = X.attach(indexed, facts).withColumns(stand_in_score())
     top, services, classes = signatures.agg(
         F.max("tmpl_freq"), F.countDistinct("service"), F.countDistinct("event_class")
     ).first()

@@ -85,7 +85,8 @@ def _sort_query(name: str, choice: str, order: str):
         from_events(f"SELECT event_id, risk_score, row_number() OVER (ORDER BY {order}, row_idx) AS position FROM ev"),
     )
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-        placed = explore.with_position(scored_table(spark, sf_dir), choice)
+        events = scored_table(spark, sf_dir).select("event_id", "risk_score", "timestamp", "row_idx")
+        placed = explore.with_position(events, choice)
         return placed.select("event_id", "risk_score", "position")
 
     return run
