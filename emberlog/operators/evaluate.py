@@ -115,6 +115,11 @@ def top_services(rows: DataFrame, limit: int) -> list[str]:
     return [r["service"] for r in counted.orderBy(F.col("n").desc(), "service").limit(limit).collect()]
 
 
+def service_places(counted: DataFrame) -> DataFrame:
+    """``counted(service, n)`` with ``service_index``, the place of every service: most frequent first, equal counts in text order."""
+    return with_row_index(counted, F.col("n").desc(), "service", name="service_index")
+
+
 def tree_matrix(rows: DataFrame, services: list[str]) -> DataFrame:
     """Seven numeric columns, eleven class flags and one flag per given service."""
     columns = {

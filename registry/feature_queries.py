@@ -9,6 +9,8 @@ from emberlog.functions import scoring, text
 from emberlog.operators import evaluate, features as X
 from emberlog.operators.ordering import event_id, with_row_index
 from emberlog.operators.projection import covariance
+from emberlog.operators.skew import attach_by_key
+from emberlog.session import store
 from registry.base import cleaned_table, frequency_table, scored_table, vector_table
 from registry.catalogue import query
 from registry.logs import logs_table
@@ -171,13 +173,20 @@ def feature_vectors(spark: SparkSession, sf_dir: str) -> DataFrame:
         f"""SELECT line_no, hour, message_length, len(regexp_split_to_array(message, '\\s+')) AS token_count,
         round(length(regexp_replace(message, '[^0-9]', '', 'g')) / greatest(length(message), 1), 6) + 0.0 AS digit_ratio,
         round(ln(1 + tmpl_freq), 6) AS log_template_freq, round(ln(1 + svc_freq), 6) AS log_service_freq,
-        round(ln(1 + burst), 6) AS log_burst, event_class AS flagged_class, service FROM freq"""
+        round(ln(1 + burst), 6) AS log_burst, event_class AS flagged_class, service, service_index, n_services FROM freq
+        JOIN (SELECT service, row_number() OVER (ORDER BY count(*) DESC, service) - 1 AS service_index, count(*) OVER () AS n_services
+          FROM clean GROUP BY service) USING (service)"""
     ),
 )
 def classifier_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The supervised matrix: its class flags are shown as the flagged name, all services are one category."""
-    rows = X.with_text_measures(frequency_table(spark, sf_dir))
-    matrix = evaluate.tree_matrix(rows, [])
+    """The supervised matrix: its class flags are shown as the flagged name, the flags of all services as the place of the one set."""
+    cleaned = cleaned_table(spark, sf_dir)
+    found = store(X.signatures(cleaned))
+    counted = found.groupBy("service").agg(F.sum("n").alias("n"))
+    places = store(evaluate.service_places(counted))
+    rows = X.with_text_measures(X.attach(cleaned, found))
+    placed = attach_by_key(rows, places, ["service"], F.col("line_no"), "n")
+    matrix = evaluate.tree_matrix(placed, []).withColumn("n_services", F.lit(places.count()).cast("long"))
 
     def flagged(prefix: str, names):
         case = F
@@ -188,7 +197,7 @@ def classifier_matrix(spark: SparkSession, sf_dir: str) -> DataFrame:
     numeric = ("digit_ratio", "log_template_freq", "log_service_freq", "log_burst")
     return matrix.select(
         "line_no", "hour", "message_length", "token_count", *[six(F.col(c)).alias(c) for c in numeric],
-        flagged("evt_", K.EVENT_CLASSES).alias("flagged_class"), "service",
+        flagged("evt_", K.EVENT_CLASSES).alias("flagged_class"), "service", "service_index", "n_services",
     )
 
 
