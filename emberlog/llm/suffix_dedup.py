@@ -22,6 +22,8 @@ SPAN = 200
 GRAM = 80
 #: Blocks that stay open are cut into pieces of so many windows, then into single ones.
 PIECES = (8, 1)
+#: Pieces that are named at a time; bounds memory where every window of a batch of texts is opened.
+AT_ONCE = 1 << 19
 _U = np.uint64
 _PLACE = _U((1 << 20) - 1)
 
@@ -64,12 +66,11 @@ def blocks(texts: list[str]) -> tuple[np.ndarray, ...]:
     return tuple(np.concatenate(parts) for parts in zip(*found))
 
 
-def pieces(texts: list[str], row, first, last, pick, width: int) -> tuple[np.ndarray, ...]:
+def pieces(data: np.ndarray, text_starts: np.ndarray, row, first, last, pick, width: int) -> tuple[np.ndarray, ...]:
     """Pieces of blocks: windows whose distance to the block's sample has the same quotient by ``width``.
 
     A piece is named by the bytes that all its windows would share if it were complete, and by all its bytes.
     """
-    data, text_starts = H.joined(texts)
     low_part, high_part = (pick - last) // width, (pick - first) // width
     count = (high_part - low_part + 1).astype(np.int64)
     block = np.repeat(np.arange(len(row)), count)
@@ -92,6 +93,13 @@ def pieces(texts: list[str], row, first, last, pick, width: int) -> tuple[np.nda
     return block, begin, end, sym, body
 
 
+def slices(row, first, last, pick, width: int) -> list[np.ndarray]:
+    """Numbers of blocks that lie side by side, with some ``AT_ONCE`` pieces a slice."""
+    order = np.lexsort((first, row))
+    count = (pick - first) // width - (pick - last) // width + 1
+    return np.split(order, np.flatnonzero(np.diff(np.cumsum(count[order]) // AT_ONCE)) + 1)
+
+
 _PLACED = BLOCKS + ", pick int"
 
 
@@ -117,9 +125,11 @@ def _opened(texts: DataFrame, samples: DataFrame, width: int) -> DataFrame:
             row = np.repeat(np.arange(len(bounds) - 1), np.diff(bounds))
             inner = column.values.slice(bounds[0], bounds[-1] - bounds[0])
             first, last, pick = (inner.field(k).to_numpy(zero_copy_only=False).astype(np.int64) for k in range(3))
-            block, begin, end, sym, body = pieces(batch.column("text").to_pylist(), row, first, last, pick, width)
-            at = pa.array(row[block])
-            yield _records(batch.column("doc_id").take(at), batch.column("th").take(at), begin, end, sym, body, pick[block])
+            joined = H.joined(batch.column("text").to_pylist())
+            for some in slices(row, first, last, pick, width):
+                block, begin, end, sym, body = pieces(*joined, row[some], first[some], last[some], pick[some], width)
+                at = pa.array(row[some][block])
+                yield _records(batch.column("doc_id").take(at), batch.column("th").take(at), begin, end, sym, body, pick[some][block])
 
     return wanted.mapInArrow(run, _PLACED)
 

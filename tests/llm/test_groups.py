@@ -83,6 +83,21 @@ def test_byte_spans(docs, rows):
     assert op.drop_repeats(docs.limit(0)).count() == 0
 
 
+def test_byte_spans_in_slices(docs, monkeypatch):
+    """No more than a slice of pieces is named at a time, and the slices change no result."""
+    import numpy as np
+
+    from emberlog.llm import suffix_dedup as op
+
+    whole = op.digests(op.drop_repeats(docs)).collect()
+    monkeypatch.setattr(op, "AT_ONCE", 500)
+    _same(op.digests(op.drop_repeats(docs)), [tuple(r) for r in whole])
+    first = np.arange(0, 60_000, 60)[::-1]
+    found = op.slices(np.zeros(1000, np.int64), first, first + 59, first + 59, 1)
+    assert sorted(np.concatenate(found)) == list(range(1000))
+    assert max(map(len, found)) * 60 <= 500 + 60
+
+
 @pytest.mark.parametrize("width,hubs", [(2, 1), (5, -1)])
 def test_near_duplicates(docs, rows, width, hubs, monkeypatch):
     from emberlog.llm import minhash_dedup
