@@ -77,8 +77,9 @@ def op8_minhash_dedup(spark, sf_dir):
 
 
 def op9_html_text(spark, sf_dir):
-    texts = html_text.main_text(_table(spark, sf_dir, "pages"))
-    return texts.withColumn("n_chars", F.length("text").cast("long"))
+    texts = html_text.main_text(_table(spark, sf_dir, "pages"), with_counts=True)
+    found = ("n_lines", "n_shared", "n_restored", "n_dropped")
+    return texts.select("page_id", "url", "text", F.length("text").cast("long").alias("n_chars"), *found)
 
 
 def op10_suffix_dedup(spark, sf_dir):

@@ -163,6 +163,51 @@ def test_main_text(spark):
     assert main_text(pages.limit(0)).count() == 0
 
 
+def test_every_page_is_aligned_with_its_neighbour(spark):
+    """Pages that mark an article too; the check by markup comes after the alignment."""
+    import os.path
+    import random
+
+    from emberlog.llm.html_text import main_text, shared_with
+
+    rng = random.Random(9)
+    codes: dict[tuple, int] = {}
+    lines, rows = {}, []
+    for k in range(60):
+        key = f"h{k % 3}", f"/{rng.choice('ab')}/{k}"
+        middle = "article" if rng.random() < 0.6 else "div"
+        kinds = ["nav", *[middle] * rng.randint(0, 6), "div", "footer"]
+        lines[key] = [(t, f"{t[0]} {rng.randint(0, 3)}") for t in kinds]
+        html = "".join(f"<{t}>{text}</{t}>" for t, text in lines[key])
+        rows += [(k, f"http://{key[0].upper()}{key[1]}?x={k}", html)] * (1 + (k == 5))
+    own = lambda key: [codes.setdefault((t in ("nav", "footer"), x), len(codes)) for t, x in lines[key]]
+    want = []
+    for k, url, html in rows:
+        key = next(key for key in lines if key[1].endswith(f"/{k}"))
+        paths = sorted(path for host, path in lines if host == key[0])
+        at = paths.index(key[1])
+        near = [p for p in (paths[at - 1] if at else None, paths[at + 1] if at + 1 < len(paths) else None) if p]
+        other = max(near, key=lambda p: len(os.path.commonprefix([p, key[1]])))
+        a, b = own(key), own((key[0], other))
+        table = [[0] * (len(b) + 1) for _ in range(len(a) + 1)]
+        for i, x in enumerate(a):
+            for j, y in enumerate(b):
+                table[i + 1][j + 1] = table[i][j] + 1 if x == y else max(table[i][j + 1], table[i + 1][j])
+        gone = shared_with(a, b)
+        assert sum(gone) == table[-1][-1]
+        is_marked = any(t == "article" for t, _ in lines[key])
+        stays = [t == "article" if is_marked else t == "div" and not g for (t, _), g in zip(lines[key], gone)]
+        restored = sum(s and g for s, g in zip(stays, gone))
+        dropped = sum(not s and not g for s, g in zip(stays, gone))
+        text = " ".join(x for (_, x), s in zip(lines[key], stays) if s)
+        want.append((k, url, text, len(a), sum(gone), restored, dropped))
+    assert any("<article" in r[2] and w[5] for r, w in zip(rows, want))
+    pages = spark.createDataFrame(rows + [(90, "http://h9/", None), (91, None, "<p>a</p><nav>b</nav>")], "page_id long, url string, html string")
+    want += [(90, "http://h9/", "", 0, 0, 0, 0), (91, None, "a", 2, 0, 0, 1)]
+    assert _rows(main_text(pages.repartition(5), with_counts=True)) == sorted(want, key=str)
+    assert main_text(pages.limit(0), with_counts=True).count() == 0
+
+
 @pytest.mark.parametrize(
     "attributes,marked",
     [
@@ -217,6 +262,25 @@ def test_unmatched_end_tags_take_no_time():
     assert texts == ["one"] and time.process_time() - start < 10
 
 
+@pytest.mark.parametrize("kinds", [3, 40, 10**6])
+def test_shared_lines_of_long_pages(kinds):
+    import random
+
+    from emberlog.llm.html_text import shared_with
+
+    rng = random.Random(kinds)
+    a = [rng.randint(0, kinds) for _ in range(700)]
+    b = [x if rng.random() < 0.7 else rng.randint(0, kinds) for x in a if rng.random() < 0.9]
+    row = [0] * (len(b) + 1)
+    for x in a:
+        before, row = row, [0]
+        for j, y in enumerate(b):
+            row.append(before[j] + 1 if x == y else max(before[j + 1], row[j]))
+    found = [x for x, s in zip(a, shared_with(a, b)) if s]
+    rest = iter(b)
+    assert len(found) == row[-1] and all(x in rest for x in found)
+
+
 def test_shared_lines_match_the_quadratic_table():
     import random
 
