@@ -159,28 +159,23 @@ class Bucket:
         self.sorted_ids = self.ids[self.by_id]
         self._kept: dict = {}
 
-    def values(self, kind) -> np.ndarray:
-        if kind not in self._kept:
-            self._kept[kind] = self.v.astype(kind)
-        return self._kept[kind]
-
     def unit(self) -> np.ndarray:
         """The vectors at length 1, a row for each coordinate."""
-        if "unit" not in self._kept:
-            self._kept["unit"] = np.ascontiguousarray((self.v / np.maximum(self.lengths, 1e-300)[:, None]).T)
-        return self._kept["unit"]
+        return np.ascontiguousarray((self.v / np.maximum(self.lengths, 1e-300)[:, None]).T)
 
     def ends(self) -> tuple[np.ndarray, np.ndarray]:
         """The smallest and the largest value of each coordinate."""
         if "ends" not in self._kept:
-            self._kept["ends"] = self.unit().min(1), self.unit().max(1)
+            unit = self.unit()
+            self._kept["ends"] = unit.min(1), unit.max(1)
         return self._kept["ends"]
 
     def lists(self) -> tuple[np.ndarray, np.ndarray]:
         """The vectors' places and values in order of each coordinate; 4 is added from coordinate to coordinate, so that all are one sorted list."""
         if "lists" not in self._kept:
-            order = np.argsort(self.unit(), axis=1)
-            by_value = np.take_along_axis(self.unit(), order, 1) + 4.0 * np.arange(len(order))[:, None]
+            unit = self.unit()
+            order = np.argsort(unit, axis=1)
+            by_value = np.take_along_axis(unit, order, 1) + 4.0 * np.arange(len(order))[:, None]
             self._kept["lists"] = order.astype(np.int32).ravel(), by_value.ravel()
         return self._kept["lists"]
 
@@ -253,7 +248,7 @@ def _by_coordinates(bucket: Bucket, asked: Asked, at: np.ndarray, local: np.ndar
     keep = (bucket.lengths[row] * asked.sizes[at[who]] >= least[who]) & (bucket.ids[row] != asked.ids[at[who]])
     who, row = who[keep], row[keep]
     for f in range(focus.shape[1]):
-        x = bucket.unit()[focus[who, f], row]
+        x = bucket.v[row, focus[who, f]] / np.maximum(bucket.lengths[row], 1e-300)
         keep = (x >= low[who, f]) & (x <= high[who, f])
         who, row = who[keep], row[keep]
     for i in range(0, len(who), step := max(1, SCORES // max(1, bucket.v.shape[1]))):
@@ -262,6 +257,17 @@ def _by_coordinates(bucket: Bucket, asked: Asked, at: np.ndarray, local: np.ndar
     return np.concatenate([whole, at[~few]])
 
 
+def _kth(scores: np.ndarray, k: int) -> np.ndarray:
+    return np.partition(scores, scores.shape[1] - k, axis=1)[:, -k]
+
+
+def _reaching(scores: np.ndarray, need: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Rows and columns of the scores that reach what their row needs; most rows have none, which their largest score tells."""
+    some = np.flatnonzero(scores.max(axis=1) >= need)
+    who, row = np.divmod(np.flatnonzero(scores[some] >= need[some][:, None]), scores.shape[1])
+    return some[who], row
+
+
 def _exactly(bucket: Bucket, asked: Asked, at: int, rows: int) -> None:
     """Products too large for floating point."""
     one = [int(x) for x in asked.q[at]]
@@ -292,7 +298,7 @@ def search_bucket(bucket: Bucket, asked: Asked) -> None:
     if not len(at):
         return
     kind = np.float32 if reach[at].max() < 2**24 else np.float64  # integers up to there are exact, and so are sums of them
-    values = bucket.values(kind)
+    values = np.ascontiguousarray(bucket.v.T, kind)
     begin, end = (np.searchsorted(bucket.sorted_ids, asked.ids, side=s) for s in ("left", "right"))
     own, step = _expanded(end - begin)  # vectors that have the query's id
     own_row = bucket.by_id[begin[own] + step]
@@ -302,18 +308,19 @@ def search_bucket(bucket: Bucket, asked: Asked) -> None:
         some = at[i : i + step]
         if not (m := rows[some[-1]]):
             continue
-        scores = asked.values[some].astype(kind) @ values[:m].T
+        scores = asked.values[some].astype(kind) @ values[:, :m]
         place[some] = np.arange(len(some))
         mine = (place[own] >= 0) & (own_row < m)
         scores[place[own[mine]], own_row[mine]] = -np.inf
         place[some] = -1
-        need = np.where(np.isinf(asked.need[some]), np.finfo(kind).min, asked.need[some]).astype(kind)
-        who, row = np.divmod(np.flatnonzero(scores >= need[:, None]), m)
+        need = np.maximum(asked.need[some], np.finfo(kind).min).astype(kind)
+        if len(free := np.flatnonzero(np.isneginf(asked.need[some]))) and m > k:
+            need[free] = np.maximum(need[free], _kth(scores[free], k))
+        who, row = _reaching(scores, need)
         many = np.flatnonzero(np.bincount(who, minlength=len(some)) > 4 * k)
         if len(many):
-            kth = np.partition(scores[many], m - k, axis=1)[:, m - k]
-            need[many] = np.maximum(need[many], kth)
-            who, row = np.divmod(np.flatnonzero(scores >= need[:, None]), m)
+            need[many] = np.maximum(need[many], _kth(scores[many], k))
+            who, row = _reaching(scores, need)
         asked.offer(some[who], bucket.ids[row], scores[who, row].astype(np.int64))
 
 
